@@ -113,13 +113,13 @@ def _smallest(adjacent: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def groups_of(batches, names):
-    """Whole groups of consecutive equal keys, several at once: (columns, starts of the groups)."""
+def groups_of(batches, names, rows: int = 20_000):
+    """Whole groups of consecutive equal keys, several at once (about ``rows``): (columns, starts)."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows < 20_000:
+        if held.num_rows < rows:
             continue
         keys = np.stack([held.column(n).to_numpy() for n in names])
         change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1

@@ -7,9 +7,11 @@
 3. In a unit, signatures are compared 16 positions at a time. After each step a pair goes if its posterior probability
    of being similar enough (uniform prior, so a binomial tail) is below ``miss``; pairs whose set sizes exclude the
    threshold go at once.
-4. Survivors are verified exactly on the full sets, best estimates first, in rounds: each round takes some of the pairs
-   that would still join two components (one for each text, then 8, then all that are left), so a large group of near
-   copies costs about one verified pair a member and yet no link that would change a component is left out.
+4. Survivors are verified exactly on the full sets. First each text's best pair is, which settles most of a large group
+   of near copies with about one pair a member. Then the survivors that would still join two components put their texts
+   into candidate groups (spanning edges only leave a task), a group is dealt into pairs of bounded blocks, and all of a
+   block pair's survivors are verified where they are. So no link that would change a component is left out, and what is
+   shuffled grows with the texts, not with the pairs.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; fewer words than
 ``words`` give one run of all of them; repeated rows are copies; rows with a null id stand alone; an empty table gives
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import ragged
 from .embedding_dups import _units, groups_of
 from .shared import SPACE, Cuts, byte_table, components, mix, shingles, steps, utf8, word_hashes, word_spans
 
@@ -147,19 +150,34 @@ def _survivors(sig: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int,
     return tuple(np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (i, j, m)
 
 
-def _best(a, b, m, ids, unit, k):
-    """Of each member's pairs in its unit the ``k`` with most equal positions (ties: smaller partner); all if k is 0."""
-    if not k or not len(a):
+def _best(a, b, m, ids):
+    """Of each member's pairs the one with most equal positions (ties: smaller partner)."""
+    if not len(a):
         return a, b, m
     own, other, at = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(np.arange(len(a)), 2)
     order = np.lexsort((ids[other], -np.tile(m, 2), own))
     own, at = own[order], at[order]
-    keep = np.unique(at[np.arange(len(own)) - np.searchsorted(own, own) < k])
+    keep = np.unique(at[np.concatenate([[True], own[1:] != own[:-1]])])
     return a[keep], b[keep], m[keep]
 
 
-def _meet(percent: int, miss: float, k: int):
-    """Pairs of each bucket that pass the sequential test and would join two components."""
+def _span(a, b, m, ids):
+    """Spanning edges of the pairs' graph: each member with the smallest index that it reaches."""
+    near = np.arange(len(ids))
+    while len(a):
+        low = near.copy()
+        np.minimum.at(low, a, near[b])
+        np.minimum.at(low, b, near[a])
+        low = low[low]
+        if (low == near).all():
+            break
+        near = low
+    a = np.flatnonzero(near != np.arange(len(ids)))
+    return near[a], a, np.zeros(len(a), np.int64)
+
+
+def _meet(percent: int, miss: float, choose):
+    """What ``choose`` takes of each bucket's pairs that pass the sequential test and would join two components."""
     least = fewest_matches(percent / 100, miss)
 
     def run(batches):
@@ -174,11 +192,12 @@ def _meet(percent: int, miss: float, k: int):
                 i, j = np.triu_indices(int(size), 1)
                 for f in np.array_split(first, max(1, len(first) * len(i) // 100_000)):
                     pair = ((f[:, None] + i).ravel(), (f[:, None] + j).ravel())
-                    found.append(_best(*_survivors(sig, n, label, percent, least, pair), ids, None, k))
+                    found.append(choose(*_survivors(sig, n, label, percent, least, pair), ids))
             for s, size in zip(starts[count > 24].tolist(), count[count > 24].tolist(), strict=True):
                 own = slice(s, s + size)
                 a, b, m = _survivors(sig[own], n[own], label[own], percent, least)
-                found.append(_best(a + s, b + s, m, ids, None, k))
+                a, b, m = choose(a, b, m, ids[own])
+                found.append((a + s, b + s, m))
             if found:
                 a, b, m = (np.concatenate(x) for x in zip(*found, strict=True))
                 x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
@@ -187,6 +206,42 @@ def _meet(percent: int, miss: float, k: int):
     return run
 
 
+def _settle(percent: int, miss: float):
+    """Exact links of each unit between components, one for each member and component."""
+    least = fewest_matches(percent / 100, miss)
+
+    def run(batches):
+        for table, starts in groups_of(batches, ["group", "unit"], 2_000):
+            ids, n, label = (table.column(c).to_numpy() for c in ("id", "size", "label"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            grams = table.column("grams")
+            out = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                a, b, _ = _survivors(sig[s:e], n[s:e], label[s:e], percent, least)
+                if not len(a):
+                    continue
+                sets = [np.frombuffer(g.as_buffer(), np.uint64) for g in grams.slice(s, e - s)]
+                bounds = np.concatenate([[0], np.cumsum([len(g) for g in sets])])
+                names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                mark, linked = np.zeros(len(names), np.int32), np.zeros(len(a), bool)
+                cut = np.flatnonzero(np.diff(a)) + 1  # survivors come ordered by their first member
+                for p, q in zip([0, *cut.tolist()], [*cut.tolist(), len(a)], strict=True):
+                    i, js = a[p], b[p:q]
+                    mark[flat[bounds[i] : bounds[i + 1]]] = 1
+                    other, edge = ragged(flat, bounds, js)
+                    common = np.add.reduceat(mark[other], edge[:-1])
+                    mark[flat[bounds[i] : bounds[i + 1]]] = 0
+                    size = np.diff(edge)
+                    linked[p:q] = 100 * common >= percent * (bounds[i + 1] - bounds[i] + size - common)
+                x, y = s + a[linked], s + b[linked]
+                first = np.unique(np.stack([x, label[y]]), axis=1, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
+                out.append((ids[x[first]], ids[y[first]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -202,6 +257,17 @@ def _verify(percent: int):
     return run
 
 
+def _merged(cuts: Cuts, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only what they join of the components so far is a graph to work on."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("id").alias(end), F.col("component_id").alias("c")), end, "left")
+        links = links.withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = components(cuts, links.where("a <> b").distinct())
+    old = labels.join(joined.select(F.col("component_id").alias("c"), F.col("id").alias("component_id")), "component_id", "left")
+    old = old.select("id", F.coalesce("c", "component_id").alias("component_id"))
+    return cuts.keep(old.union(joined.join(labels.select("id"), "id", "left_anti")))
+
+
 def find(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     cuts = Cuts(docs.sparkSession)
@@ -216,36 +282,33 @@ def find(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = MISS)
     met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     units = cuts.keep(_units(entries.join(met, "key"), "n", F.xxhash64("id"), BLOCK).select("key", "unit", "id"))
     marks = classes.select("id", "size", "sig")
-    tested = links = sets = labels = None
-    for k in (1, 8, 0):
-        if labels is None:
-            work = units.join(marks.withColumn("label", F.col("id")), "id")
-        else:  # only buckets in which two components meet
-            named = cuts.keep(units.join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id")).drop("component_id"))
-            mixed = named.groupBy("key", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-            work = named.join(mixed.select("key", "unit"), ["key", "unit"], "left_semi").join(marks, "id")
-        work = work.select("key", "unit", "id", "size", "sig", "label").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
-        met_pairs = work.mapInArrow(_meet(percent, miss, k), "a long, b long, m int").groupBy("a", "b").agg(F.max("m").alias("m"))
-        if tested is not None:
-            met_pairs = met_pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cuts.keep(met_pairs)
-        if sets is None:  # every text that survives with any other does so here
-            needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            whole = text.join(needed, "doc_id", "left_semi")
-            sets = cuts.keep(whole.mapInArrow(_sets(words), "id long, grams binary"))
-        if k == 1:  # over all buckets, each text's best pair
-            ends = F.explode(F.array(*(F.struct(F.col(p).alias("own"), F.struct(F.col("m"), (-F.col(q)).alias("other")).alias("to")) for p, q in ("ab", "ba"))))
-            best = pairs.select(ends.alias("e")).groupBy("e.own").agg(F.max("e.to").alias("to"))
-            chosen = best.select(F.least("own", -F.col("to.other")).alias("a"), F.greatest("own", -F.col("to.other")).alias("b")).distinct()
-        else:
-            chosen = pairs.select("a", "b")
-            if chosen.limit(1).count() == 0:
-                break
-        sided = chosen.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-        checked = cuts.keep(sided.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
-        tested = checked if tested is None else tested.union(checked)
-        links = tested.where("linked").select("a", "b")
-        labels = components(cuts, links)
+    ordered = lambda df: df.select("key", "unit", "id", "size", "sig", "label").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
+    met_pairs = ordered(units.join(marks.withColumn("label", F.col("id")), "id")).mapInArrow(_meet(percent, miss, _best), "a long, b long, m int")
+    pairs = cuts.keep(met_pairs.groupBy("a", "b").agg(F.max("m").alias("m")))
+    # every text that survives with any other does so here
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cuts.keep(text.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"))
+    # over all buckets, each text's best pair
+    ends = F.explode(F.array(*(F.struct(F.col(p).alias("own"), F.struct(F.col("m"), (-F.col(q)).alias("other")).alias("to")) for p, q in ("ab", "ba"))))
+    best = pairs.select(ends.alias("e")).groupBy("e.own").agg(F.max("e.to").alias("to"))
+    chosen = best.select(F.least("own", -F.col("to.other")).alias("a"), F.greatest("own", -F.col("to.other")).alias("b")).distinct()
+    sided = chosen.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    checked = cuts.keep(sided.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
+    labels = components(cuts, checked.where("linked").select("a", "b"))
+    # only buckets in which two components meet go on
+    label = F.coalesce("component_id", "id").alias("label")
+    named = cuts.keep(units.join(labels, "id", "left").select("key", "unit", "id", label))
+    mixed = named.groupBy("key", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "unit")
+    open_ = ordered(named.join(mixed, ["key", "unit"], "left_semi").join(marks, "id"))
+    edges = cuts.keep(open_.mapInArrow(_meet(percent, miss, _span), "a long, b long, m int").select("a", "b").distinct())
+    cuts.drop(pairs, checked, named, units)
+    if edges.limit(1).count():
+        groups = components(cuts, edges).withColumnRenamed("component_id", "group")
+        work = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
+        work = _units(work, "n", F.xxhash64("id"), BLOCK // 2).select("group", "unit", "id")
+        work = work.join(labels, "id", "left").select("group", "unit", "id", label).join(marks, "id").join(sets, "id")
+        work = work.select("group", "unit", "id", "size", "sig", "label", "grams").repartition("group", "unit").sortWithinPartitions("group", "unit", "id")
+        labels = _merged(cuts, labels, cuts.keep(work.mapInArrow(_settle(percent, miss), "a long, b long")))
     ids = classes.select("id", "h1", "h2", "size").join(labels, "id", "left").select("h1", "h2", "size", F.coalesce("component_id", "id").alias("component_id"))
     inside = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumnRenamed("n_shingles", "size").join(ids, ["h1", "h2", "size"])
     outside = rows.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
