@@ -207,7 +207,7 @@ def _meet(percent: int, miss: float, choose):
 
 
 def _settle(percent: int, miss: float):
-    """Exact links of each unit between components, one for each member and component."""
+    """Spanning edges of each unit's components under exact links between their members."""
     least = fewest_matches(percent / 100, miss)
 
     def run(batches):
@@ -233,9 +233,9 @@ def _settle(percent: int, miss: float):
                     mark[flat[bounds[i] : bounds[i + 1]]] = 0
                     size = np.diff(edge)
                     linked[p:q] = 100 * common >= percent * (bounds[i + 1] - bounds[i] + size - common)
-                x, y = s + a[linked], s + b[linked]
-                first = np.unique(np.stack([x, label[y]]), axis=1, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
-                out.append((ids[x[first]], ids[y[first]]))
+                own, at = np.unique(label[s:e], return_inverse=True)
+                x, y, _ = _span(at[a[linked]], at[b[linked]], None, own)
+                out.append((own[x], own[y]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
 
