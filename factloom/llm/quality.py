@@ -80,7 +80,12 @@ def fit(texts, y, bits: int = 16, epochs: int = 30, batch: int = 256, rate: floa
         return QualityModel(np.zeros(2), np.zeros(0), grades or [0])
     k = np.searchsorted(grades, y)
     data, offsets = utf8(pa.array(list(texts), pa.large_string()))
-    slots, bounds = features(data, offsets, bits)
+    parts, bounds = [np.zeros((4, 0), np.int32)], [np.zeros(1, np.int64)]
+    for i, j in steps(offsets):  # a step at a time, to bound the memory
+        own, b = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
+        parts.append(own.astype(np.int32))
+        bounds.append(b[1:] + bounds[-1][-1])
+    slots, bounds = np.concatenate(parts, 1), np.concatenate(bounds)
     n = np.maximum(np.diff(bounds), 1)
     share = np.cumsum(np.bincount(k, minlength=len(grades)))[:-1] / len(k)
     start = np.log(share / (1 - share))
