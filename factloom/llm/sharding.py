@@ -104,8 +104,11 @@ def _digit(k: int) -> Column:
 
 
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A frame of at most one row per node, so of fixed size, to broadcast."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A frame of at most one row per node, so of fixed size, to broadcast: an inline table, for which no task runs."""
+    fields = [f.split() for f in schema.split(", ")]
+    casts = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    values = ", ".join(f"({', '.join(map(str, row))})" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})"))
 
 
 def grow(cuts: Cuts, table: DataFrame, shards: int = SHARDS) -> tuple[Node, DataFrame]:
