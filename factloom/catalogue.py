@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import expressions as X
+from factloom.functions import values as V
 from factloom.operators import relational as R
 from factloom.plans import rules, workflow
 from factloom.sources import records
@@ -406,3 +407,35 @@ def workflow_route_orders(spark, sf):
     o = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("entity"), F.struct(F.col("o_orderstatus").alias("status")).alias("order"), (F.col("o_orderstatus") == "F").alias("satisfied"))
     out = workflow.run(o.join(routed, "entity"), PLAN, {"S0001": "route"})
     return out.select("entity", F.col("order.status").alias("status"), F.size("emissions").alias("emitted"), "control", "current_step")
+
+
+# ------------------------------------------------------------------------------------------------ nested values
+
+
+def _order_values(spark, sf):
+    """Each order as the text of a nested value, with its keys in no order."""
+    o = _table(spark, sf, "orders")
+    text = F.format_string('(status="%s", cust=%d, tags=Set([3, 10, 2]), kind=:order_%s)', "o_orderstatus", "o_custkey", F.lower("o_orderstatus"))
+    return o.select(F.col("o_orderkey").alias("orderkey"), text.alias("value"))
+
+
+_ORDER_TEXT = """'(cust=' || o_custkey || ', kind=:order_' || lower(o_orderstatus) || ', status="' || o_orderstatus || '", tags=Set([10, 2, 3]))'"""
+
+
+@_register("canonical_value_text", f"SELECT o_orderkey AS orderkey, {_ORDER_TEXT} AS canonical, sha256({_ORDER_TEXT}) AS digest FROM orders")
+def canonical_value_text(spark, sf):
+    out = _order_values(spark, sf).select("orderkey", V.canonical_text(F.col("value"), strict=True).alias("canonical"))
+    return out.withColumn("digest", F.sha2("canonical", 256))
+
+
+@_register("binary_round_trip", f"SELECT o_orderkey AS orderkey, {_ORDER_TEXT} AS decoded FROM orders")
+def binary_round_trip(spark, sf):
+    """Text to a message with its digest and back; decoding verifies the digest."""
+    messages = _order_values(spark, sf).select("orderkey", V.encode_canonical(F.col("value"), digest=True, strict=True).alias("message"))
+    return messages.select("orderkey", V.decode_text(F.col("message"), strict=True).alias("decoded"))
+
+
+@_register("canonical_json_digest", "SELECT event_id, replace(props, ' ', '') AS canonical, sha256(replace(props, ' ', '')) AS digest FROM events")
+def canonical_json_digest(spark, sf):
+    out = _table(spark, sf, "events").select("event_id", V.canonical_json_column(F.col("props"), strict=True).alias("canonical"))
+    return out.withColumn("digest", F.sha2("canonical", 256))
