@@ -484,6 +484,15 @@ def canonical_json(text: str) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def json_contains(whole, part) -> bool:
+    """Objects may hold more keys than ``part``, arrays match member by member, scalars match in kind and value."""
+    if isinstance(part, dict):
+        return isinstance(whole, dict) and all(k in whole and json_contains(whole[k], v) for k, v in part.items())
+    if isinstance(part, list):
+        return isinstance(whole, list) and len(whole) == len(part) and all(map(json_contains, whole, part))
+    return type(whole) is type(part) and whole == part
+
+
 # ------------------------------------------------------------------------------------------------ columns
 
 
@@ -524,3 +533,11 @@ def fact_digest_column(text: Column, strict: bool = False) -> Column:
 
 def canonical_json_column(text: Column, strict: bool = False) -> Column:
     return _column("string", canonical_json, strict)(text)
+
+
+def json_contains_column(text: Column, part, strict: bool = False) -> Column:
+    return _column("boolean", lambda t: json_contains(json.loads(t), part), strict)(text)
+
+
+def kind_column(text: Column, strict: bool = False) -> Column:
+    return _column("string", lambda t: parse(t)[0], strict)(text)

@@ -105,6 +105,14 @@ def test_short_forms_of_tags():
     assert V.to_text(("tagged", ("a/b", V.NIL))) == "AB(nil)" and V.parse("AB(nil)") == ("tagged", ("ab", V.NIL))  # no round trip
 
 
+def test_json_contains(spark):
+    texts = ['{"a": [1, {"b": true, "c": 2}], "d": null}', '{"a": [1, {"b": 1}]}', '{"a": [1]}', '{"a": [1.0, {"b": true}]}', "broken", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(V.json_contains_column(F.col("t"), {"a": [1, {"b": True}]})).collect()] == [True, False, False, False, None, None]
+    df = spark.createDataFrame([("1u",), ("[1]",), ("(",), ("@meta(a = 1)\nnil",)], "t string")
+    assert [r[0] for r in df.select(V.kind_column(F.col("t"))).collect()] == ["uint", "vector", None, "annotated"]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("(b=1, a=2)",), ("broken(",), (None,)], "t string")
     rows = df.select(V.canonical_text(F.col("t")), V.decode_text(V.encode_canonical(F.col("t"), digest=True)), V.fact_digest_column(F.col("t")).isNull()).collect()
