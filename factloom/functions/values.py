@@ -168,6 +168,8 @@ class _Reader:
             key = ("keyword", _name_of(self.take()[1]))
         else:
             key = self.value()
+        if key[0] not in ("keyword", "string"):
+            raise ValueFormatError("keys in text are identifiers, keywords or strings")
         self.take("=")
         return key, self.value()
 
@@ -193,7 +195,10 @@ class _Reader:
         if text == "[":
             return "vector", self.items("]", self.value)
         if text == "(":
-            return "map", self.items(")", self.pair)
+            pairs = self.items(")", self.pair)
+            if len({identity(k) for k, _ in pairs}) < len(pairs):
+                raise ValueFormatError("repeated map key")
+            return "map", pairs
         if group == "word":
             if text in ("nil", "true", "false"):
                 return NIL if text == "nil" else ("bool", text == "true")
