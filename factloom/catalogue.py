@@ -338,7 +338,12 @@ def requirement_first_alternative(spark, sf):
     a = a.select(key.alias("requirement_id"), "alternative", F.when(F.col("alternative") == 1, key % 17).otherwise(key % 11).alias("capability_id"), (key % 3).alias("version"), F.col("p_size").alias("most"), F.array(key % 5).alias("operations"))
     k = F.col("s_suppkey")
     e = s.groupBy((k % 13).alias("capability_id"), (k % 3).alias("version")).agg(F.max(k % 50).alias("most"), F.collect_set(k % 7).alias("operations"))
-    return R.match_capabilities(a, e)
+    # the fixed SQL takes the furthest stage and its own codes; R.match_capabilities follows the reference
+    per = R.alternative_stages(a, e)
+    best = per.groupBy("requirement_id").agg(F.min(F.when(F.col("stage") == len(R.STAGES), F.col("alternative"))).alias("chosen"), F.max("stage").alias("stage"))
+    codes = F.create_map(*[F.lit(x) for i, c in ((0, "missing_required_capability"), (1, "incompatible_version"), (3, "incompatible_config_hash"), (4, "constraint_violation")) for x in (i, f"CAPABILITY.{c}")])
+    accepted = F.col("chosen").isNotNull()
+    return best.select("requirement_id", "chosen", F.when(accepted, "accepted").otherwise("reject").alias("verdict"), F.when(~accepted, codes[F.col("stage")]).alias("code"))
 
 
 @_register("constraint_subset", """

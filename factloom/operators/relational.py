@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,26 +124,67 @@ def ordered_codes(codes: Column) -> Column:
 
 # ---------------------------------------------------------------------------------------------- capabilities
 
-#: The stages of a match, in order, and what failing at each of them is called.
-STAGES = ("CAPABILITY.missing_required_capability", "CAPABILITY.incompatible_version", "CAPABILITY.incompatible_config_hash", "CAPABILITY.constraint_violation")
+#: The stages of a match, in order, and the code and rank of failing at each of them.
+STAGES = ("capability", "version", "config_hash", "operations", "constraints", "trust_anchors")
+CODES = ("missing_required_capability", "incompatible_version", "incompatible_version", "constraint_violation", "constraint_violation", "untrusted_or_missing_trust_anchor")
+RANKS = (1, 2, 2, 4, 4, 5)
+#: How a requirement's value of each kind of constraint must stand to the environment's.
+KINDS = {
+    "set": lambda a, e: F.size(F.array_except(a, e)) == 0,
+    "max": lambda a, e: a <= e,
+    "flag": lambda a, e: ~a | e,
+    "raw": lambda a, e: a == e,
+}
+#: A requirement's trust anchors, the environment's that they are held against, and whether all must be there.
+ANCHORS = (
+    ("signer_keys_all_of", "trusted_signer_keys", True), ("signer_keys_any_of", "trusted_signer_keys", False), ("signature_algs", "allowed_signature_algs", True),
+    ("cert_roots_all_of", "trusted_cert_roots", True), ("cert_roots_any_of", "trusted_cert_roots", False),
+)
 
 
-def match_capabilities(alternatives: DataFrame, environment: DataFrame) -> DataFrame:
-    """For each requirement its verdict: the first passing alternative, else the furthest stage that any reached.
+def alternative_stages(alternatives: DataFrame, environment: DataFrame, constraints: dict[str, str] | None = None) -> DataFrame:
+    """(requirement_id, alternative, stage): the place in STAGES where each alternative fails, their number if it passes.
 
-    Alternatives: requirement_id, alternative, capability_id, version, operations, most. Environment: capability_id,
-    version, operations, most. A requirement's sets must be inside the environment's, its maximum not above it.
+    Alternatives: requirement_id, alternative, capability_id, version, operations and, if there are any, config_hash,
+    the constraints and the first column of ANCHORS. Environment: capability_id, version, operations and, where the
+    alternatives ask for them, config_hash, the constraints and the second column of ANCHORS. ``constraints`` names the
+    kind (of KINDS) of each constraint's column. A null or an empty set asks for nothing; what the environment lacks
+    does not fit. A stage that no entry passes fails, so an alternative's stage is the furthest of its entries.
     """
-    e = environment.select("capability_id", F.col("version").alias("e_version"), F.col("operations").alias("e_operations"), F.col("most").alias("e_most"))
+    names = [c for c in environment.columns if c != "capability_id"]
+    e = environment.select("capability_id", *[F.col(c).alias(f"e_{c}") for c in names], F.lit(True).alias("e_"))
     pair = alternatives.join(e, "capability_id", "left")
-    version = F.col("version") == F.col("e_version")
-    operations = F.size(F.array_except("operations", "e_operations")) == 0
-    most = F.col("most") <= F.col("e_most")
-    stage = F.when(F.col("e_version").isNull(), 0).when(~version, 1).when(~operations, 2).when(~most, 3).otherwise(4)
-    per = pair.withColumn("stage", stage).groupBy("requirement_id", "alternative").agg(F.max("stage").alias("stage"))
-    best = per.groupBy("requirement_id").agg(F.min(F.when(F.col("stage") == 4, F.col("alternative"))).alias("chosen"), F.max("stage").alias("stage"))
-    code = F.when(F.col("chosen").isNull(), F.element_at(F.array(*map(F.lit, STAGES)), F.col("stage") + 1))
-    return best.select("requirement_id", "chosen", F.when(F.col("chosen").isNotNull(), "accepted").otherwise("reject").alias("verdict"), code.alias("code"))
+
+    def fits(own: str, other: str, test) -> Column:
+        if own not in alternatives.columns:
+            return F.lit(True)
+        return F.col(own).isNull() | (F.coalesce(test(F.col(own), F.col(f"e_{other}")), F.lit(False)) if other in names else F.lit(False))
+
+    def anchored(own: str, other: str, every: bool) -> Column:
+        if own not in alternatives.columns:
+            return F.lit(True)
+        there = F.coalesce(F.col(f"e_{other}"), F.array().cast(alternatives.schema[own].dataType)) if other in names else F.array().cast(alternatives.schema[own].dataType)
+        common = F.size(F.array_intersect(F.col(own), there))
+        return F.col(own).isNull() | (F.size(own) == 0) | (common == F.size(F.array_distinct(own)) if every else common > 0)
+
+    both = lambda tests: reduce(Column.__and__, tests, F.lit(True))
+    tests = (
+        F.col("e_").isNotNull(), F.coalesce(F.col("version") == F.col("e_version"), F.lit(False)), fits("config_hash", "config_hash", KINDS["raw"]), fits("operations", "operations", KINDS["set"]),
+        both([fits(c, c, KINDS[kind]) for c, kind in ({"most": "max"} if constraints is None else constraints).items()]), both([anchored(*a) for a in ANCHORS]),
+    )
+    stage = F.coalesce(*[F.when(~t, F.lit(i)) for i, t in enumerate(tests)], F.lit(len(STAGES)))
+    return pair.withColumn("stage", stage).groupBy("requirement_id", "alternative").agg(F.max("stage").alias("stage"))
+
+
+def match_capabilities(alternatives: DataFrame, environment: DataFrame, constraints: dict[str, str] | None = None) -> DataFrame:
+    """For each requirement its verdict: the first passing alternative, else the code of lowest rank among the failures."""
+    per = alternative_stages(alternatives, environment, constraints)
+    passed = F.col("stage") == len(STAGES)
+    failure = F.struct(F.element_at(F.array(*map(F.lit, RANKS)), F.col("stage") + 1), F.concat(F.lit("CAPABILITY."), F.element_at(F.array(*map(F.lit, CODES)), F.col("stage") + 1)).alias("code"))
+    best = per.groupBy("requirement_id").agg(F.min(F.when(passed, F.col("alternative"))).alias("chosen"), F.min(F.when(~passed, failure)).alias("failure"))
+    return best.select(
+        "requirement_id", "chosen", F.when(F.col("chosen").isNotNull(), "accepted").otherwise("reject").alias("verdict"), F.when(F.col("chosen").isNull(), F.col("failure.code")).alias("code"),
+    )
 
 
 # ---------------------------------------------------------------------------------------------- digests

@@ -55,3 +55,22 @@ def test_outbox_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("outbox").count() == 3
+
+
+def test_capability_cascade(spark):
+    asks = [  # version, operations, config hash, most, all of these signers, any of these roots
+        (1, 1, "v", ["op"], None, 5, [], []), (2, 1, "v", ["op"], "h2", 5, [], []), (3, 1, "v", ["no"], None, 5, [], []), (4, 1, "v", ["op"], "h", 9, [], []),
+        (5, 1, "v", ["op"], "h", 5, ["k", "z"], []), (6, 1, "v", ["op"], "h", 5, ["k"], ["y"]), (7, 1, "v", ["op"], "h", 5, ["k"], ["y", "r"]),
+        (8, 1, "v", ["op"], None, 9, [], []), (9, 1, "w", ["op"], None, 5, [], []), (10, 1, "w", ["op"], None, 5, [], []), (10, 2, "v", ["op"], "h", None, None, None),
+    ]
+    a = spark.createDataFrame(asks, "requirement_id int, alternative int, version string, operations array<string>, config_hash string, most int, signer_keys_all_of array<string>, cert_roots_any_of array<string>").withColumn("capability_id", F.lit("c"))
+    other = spark.createDataFrame([(8, 2, "v", [], None, None, [], [], "absent"), (9, 2, "v", ["op"], None, 9, [], [], "c")], a.schema)
+    e = spark.createDataFrame([("c", "v", "h", ["op", "more"], 7, ["k"], ["r"]), ("d", "v", "h2", ["no"], 99, ["z"], ["y"])], "capability_id string, version string, config_hash string, operations array<string>, most int, trusted_signer_keys array<string>, trusted_cert_roots array<string>")
+    got = {r.requirement_id: (r.chosen, (r.code or "").removeprefix("CAPABILITY.")) for r in R.match_capabilities(a.union(other), e).collect()}
+    trust = (None, "untrusted_or_missing_trust_anchor")
+    assert got == {
+        1: (1, ""), 2: (None, "incompatible_version"), 3: (None, "constraint_violation"), 4: (None, "constraint_violation"), 5: trust, 6: trust, 7: (1, ""),
+        8: (None, "missing_required_capability"), 9: (None, "incompatible_version"), 10: (2, ""),
+    }
+    flags = R.match_capabilities(a.where("requirement_id = 1").withColumn("safe", F.lit(True)), e.withColumn("safe", F.lit(False)), {"safe": "flag"}).first()
+    assert flags.code == "CAPABILITY.constraint_violation"
