@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.sources.records import parse_records
+from factloom.sources.records import RECORD_LENGTH, parse_records
 
 
 def outbox_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
-    """Records of the ``.dat`` files that appear in a folder; the checkpoint remembers which were processed."""
-    lines = spark.readStream.option("pathGlobFilter", "*.dat").option("maxFilesPerTrigger", per_trigger).text(path)
-    return parse_records(lines).where("length_ok and checksum_ok").dropDuplicates(["correlation_id"])
+    """Every record of the ``.dat`` files that appear in a folder; the checkpoint remembers which were processed.
+
+    A wrong checksum is flagged (``checksum_ok``) and repeated correlation ids stay. Lines of a wrong length are no
+    records; ``outbox_rejects`` has them.
+    """
+    return parse_records(_lines(spark, path, per_trigger)).where("length_ok")
+
+
+def outbox_rejects(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
+    """The lines that ``outbox_stream`` can't parse, as they are, with their file."""
+    return _lines(spark, path, per_trigger).where(F.length("value") != RECORD_LENGTH).select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def _lines(spark: SparkSession, path: str, per_trigger: int) -> DataFrame:
+    return spark.readStream.option("pathGlobFilter", "*.dat").option("maxFilesPerTrigger", per_trigger).text(path)
 
 
 def resumed(receipts: DataFrame, waiting: DataFrame) -> DataFrame:

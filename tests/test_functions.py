@@ -57,6 +57,21 @@ def test_outbox_stream(spark, tmp_path):
     assert spark.table("outbox").count() == 3
 
 
+def test_outbox_keeps_every_record(spark, tmp_path):
+    from factloom.streaming.outbox import outbox_rejects, outbox_stream
+
+    df = spark.createDataFrame([(f"c{i}", "AD", "v", "k" * 32 if i < 3 else "") for i in range(6)], "a string, b string, c string, d string")
+    lines = [r.value for r in render_records(df, *map(F.col, "abcd")).collect()]
+    (tmp_path / "x.dat").write_text("\n".join([*lines, lines[0][:-1] + "~"]) + "\nbad\n")
+    for name, stream in (("every_record", outbox_stream), ("no_record", outbox_rejects)):
+        q = stream(spark, str(tmp_path)).writeStream.format("memory").queryName(name).start()
+        q.processAllAvailable()
+        q.stop()
+    got = spark.table("every_record").collect()
+    assert sorted(r.customer_id for r in got) == ["c0", "c0", "c1", "c2", "c3", "c4", "c5"] and [r.customer_id for r in got if not r.checksum_ok] == ["c0"]
+    assert [(r.value, r.path.endswith("x.dat")) for r in spark.table("no_record").collect()] == [("bad", True)]
+
+
 def test_capability_cascade(spark):
     asks = [  # version, operations, config hash, most, all of these signers, any of these roots
         (1, 1, "v", ["op"], None, 5, [], []), (2, 1, "v", ["op"], "h2", 5, [], []), (3, 1, "v", ["no"], None, 5, [], []), (4, 1, "v", ["op"], "h", 9, [], []),
