@@ -268,16 +268,18 @@ def solve(spark: SparkSession, program: Program, relations: dict[str, DataFrame]
     if len(program.query) != 2:
         raise RulesError(TYPE, "the query takes one term")
     known = derive(spark, program, relations)
-    found = []
+    first, several = None, False
     if program.query[0] in known:
-        found = [r[0] for r in _pattern(known[program.query[0]], program.query[1:]).distinct().limit(MAX_RULES).collect()]
-    if not found:
+        rows = _pattern(known[program.query[0]], program.query[1:])
+        route = F.col(rows.columns[0])
+        first, several = rows.agg(F.min_by(route, route.cast("string")), F.count_distinct(route) > 1).first()
+    if first is None:
         if program.no_match is None:
             raise RulesError(NO_MATCH)
         return program.no_match
-    if len(found) > 1 and program.ambiguous == "error":
+    if several and program.ambiguous == "error":
         raise RulesError(AMBIGUOUS)
-    return min(found, key=lambda r: str(r).encode())
+    return first
 
 
 def route_each(spark: SparkSession, program: Program, relations: dict[str, DataFrame], entities: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def test_policies(spark):
         solve(spark, parse_json(spec | {"facts": []}))
 
 
+def test_first_of_many_routes(spark):
+    p = parse_json({"facts": [], "rules": [{"head": ["route", "?r"], "body": [["candidate", "?r"]]}], "query": ["route", "?r"], "on_ambiguous": "choose-first"})
+    many = spark.range(5000, 0, -1, 8).selectExpr("concat(':r', lpad(id, 5, '0')) AS r")
+    assert solve(spark, p, {"candidate": many}) == ":r00001"
+    assert solve(spark, p, {"candidate": many.where("r > ':r04000'")}) == ":r04001"
+    p.ambiguous = "error"
+    with pytest.raises(RulesError, match=rules.AMBIGUOUS):
+        solve(spark, p, {"candidate": many})
+
+
 def test_plans():
     with pytest.raises(workflow.PlanError):
         workflow.validate([{"step_id": "S0002", "op": "end"}, {"step_id": "S0001", "op": "end"}])
