@@ -29,7 +29,7 @@ from .shared import Cuts, components
 
 THRESHOLD = 0.95
 #: Chance of missing a pair right at the threshold, width of the bounds, members of a block.
-MISS, DEVIATIONS, BLOCK = 2e-3, 4.0, 1024
+MISS, DEVIATIONS, BLOCK = 4e-5, 4.0, 1024
 
 
 def bands(n: int, threshold: float, miss: float) -> tuple[int, int]:

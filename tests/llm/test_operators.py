@@ -138,6 +138,12 @@ def test_embedding_dups(spark):
     assert embedding_dups.find(df.limit(0)).count() == 0
 
 
+def test_embedding_bands_miss_as_little_as_near_dups():
+    for n in (2, 2000, 10**5, 10**8):
+        bits, count = embedding_dups.bands(n, embedding_dups.THRESHOLD, embedding_dups.MISS)
+        assert (1 - (1 - np.arccos(embedding_dups.THRESHOLD) / np.pi) ** bits) ** count <= 5e-5
+
+
 def test_nearest(spark):
     df, x = vectors(spark)
     got = ann.search(df, df.where("vec_id % 50 = 0"), k=10, block=4).toPandas()
