@@ -2,8 +2,9 @@
 
 1. A text's set is its distinct runs of ``words`` words (ASCII lower-cased). Texts with equal sets form one class, so
    exact copies are never paired, however many there are.
-2. Classes get a MinHash signature; bands of it bring candidates together. A band bucket of any size is dealt into
-   blocks of bounded size, every pair of blocks being a unit of work.
+2. Classes get a MinHash signature; bands of it bring candidates together, their rows and number following from the
+   threshold and the wanted miss probability. A band bucket of any size is dealt into blocks of bounded size, every pair
+   of blocks being a unit of work.
 3. In a unit, signatures are compared 16 positions at a time. After each step a pair goes if its posterior probability
    of being similar enough (uniform prior, so a binomial tail) is below ``miss``; pairs whose set sizes exclude the
    threshold go at once.
@@ -20,7 +21,7 @@ an empty result; very long texts are handled whole.
 
 from __future__ import annotations
 
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from .bpe import ragged
 from .embedding_dups import _units, groups_of
 from .shared import SPACE, Cuts, byte_table, components, mix, shingles, steps, utf8, word_hashes, word_spans
 
-HASHES, ROWS, STEP = 128, 6, 16
-BANDS = 21
-#: Probability of a wrongly dropped candidate that a comparison step may take, and members of a block.
-MISS, BLOCK = 1e-4, 1024
+HASHES, STEP = 128, 16
+#: Probability of a wrongly dropped candidate that a comparison step may take, of a pair right at the threshold that
+#: shares no band, and members of a block.
+MISS, BAND_MISS, BLOCK = 1e-4, 5e-5, 1024
 TABLE = byte_table(SPACE, lower=True)
 _RNG = np.random.default_rng(2013)
 _TURN = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -68,12 +69,22 @@ def signatures(h: np.ndarray, bounds: np.ndarray):
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    keys = np.zeros((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
+def banding(percent: int, miss: float) -> tuple[int, int]:
+    """Bands and rows of a band: the most rows with which a pair at the threshold is missed with ``miss`` at most."""
+    for rows in range(HASHES, 0, -1):
+        together = min((percent / 100) ** rows, 1 - 1e-12)
+        count = max(1, ceil(log(miss) / log1p(-together))) if together > 1e-12 else HASHES + 1
+        if count * rows <= HASHES:
+            return count, rows
+    raise ValueError(f"{HASHES} positions can't serve a threshold of {percent} percent with a miss of {miss}")
+
+
+def band_keys(sig: np.ndarray, count: int, rows: int) -> np.ndarray:
+    keys = np.zeros((len(sig), count), np.uint64)
+    for b in range(count):
         k = np.full(len(sig), b + 1, np.uint64)
-        for r in range(ROWS):
-            k = mix(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
+        for r in range(rows):
+            k = mix(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * rows + r])
         keys[:, b] = k
     return keys.view(np.int64)
 
@@ -90,18 +101,18 @@ def fewest_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def _sketch(words: int):
+def _sketch(words: int, count: int, rows: int):
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in steps(offsets):
                 h, bounds = row_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 sig = signatures(h, bounds)
-                keys, small = band_keys(sig), (sig & np.uint32(0xFF)).astype(np.uint8)
+                keys, small = band_keys(sig, count, rows), (sig & np.uint32(0xFF)).astype(np.uint8)
                 total = [np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(s)))]).astype(np.uint64) for s in (0x1234567, 0x89ABCDEF01)]
                 prints = [(t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total]
                 n = np.diff(bounds)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, count), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(n), *map(pa.array, prints), lists, pa.array([s.tobytes() for s in small], pa.binary())],
                     names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
@@ -268,12 +279,12 @@ def _merged(cuts: Cuts, labels: DataFrame, links: DataFrame) -> DataFrame:
     return cuts.keep(old.union(joined.join(labels.select("id"), "id", "left_anti")))
 
 
-def find(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = MISS) -> DataFrame:
+def find(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = MISS, band_miss: float = BAND_MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     cuts = Cuts(docs.sparkSession)
     text = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_shingles long, h1 long, h2 long, bands array<long>, sig binary").fields])
-    sketched = cuts.keep(text.mapInArrow(_sketch(words), schema))
+    sketched = cuts.keep(text.mapInArrow(_sketch(words, *banding(percent, band_miss)), schema))
     rows = sketched.select("doc_id", "n_shingles", "h1", "h2")
     live = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumnRenamed("n_shingles", "size")
     classes = live.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))

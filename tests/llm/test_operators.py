@@ -63,6 +63,18 @@ def test_near_dups(spark, words, percent):
     assert near_dups.find(df.limit(0)).count() == 0
 
 
+def test_near_dups_at_a_low_threshold(spark):
+    assert near_dups.banding(85, near_dups.BAND_MISS) == (21, 6)
+    for percent in (10, 50, 80, 95, 100):
+        count, rows = near_dups.banding(percent, near_dups.BAND_MISS)
+        assert count * rows <= near_dups.HASHES and (1 - (percent / 100) ** rows) ** count <= near_dups.BAND_MISS
+    with pytest.raises(ValueError, match="can't serve"):
+        near_dups.banding(1, near_dups.BAND_MISS)
+    pairs = [(" ".join(f"p{k}w{i}" for i in range(40)), " ".join(f"p{k}w{i}" for i in range(13, 53))) for k in range(60)]  # 27 of 53 words in common
+    df = spark.createDataFrame([(2 * k + side, t) for k, pair in enumerate(pairs) for side, t in enumerate(pair)], "doc_id long, text string")
+    assert near_dups.find(df, 1, 50).where("component_id = doc_id").count() == 60
+
+
 def test_bpe_is_the_library(spark):
     from tokenizers import Tokenizer
 
