@@ -272,3 +272,61 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in c.STAGES] == ["toxicity", "quality", "near_duplicates", "packing"]
     out = c.run(spark, str(tmp_path))
     assert out.columns[0] == "doc_id" and out.select("doc_id").distinct().count() > 100
+
+
+def test_pipeline_stages_keep_what_plain_python_keeps(spark, tmp_path):
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    x, y = labelled(300)
+    x = [" ".join(("a" if i % 5 else "###") if k % 3 == 0 else w for k, w in enumerate(t.split())) for i, t in enumerate(x)]
+    near = [" ".join([*x[i].split(), "more"]) for i in range(3, 300, 10)]
+    rows = [(i, t, ("en", "de")[i % 2], "s", len(t)) for i, t in enumerate([*x, *x[7:300:25], *near, "long text " * 1500])]
+    rows += [rows[1], rows[7], (None, x[2], "en", "s", 1), (None, x[2], None, "s", 1), (1001, None, None, None, None), (1002, "", "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    grades = [(i, int(i % 5 != 0), int(v)) for i, v in enumerate(y)]
+    spark.createDataFrame(grades, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def sample(left, label):  # labelled rows outside the held-out fold, by id
+        first = {r[0]: r for r in sorted((r for r in left if r[0] is not None), key=lambda r: (r[0], r[1] or ""), reverse=True) if r[1] is not None}
+        return [(first[g[0]], g[label]) for g in sorted(grades) if g[0] in first and zlib.crc32(str(g[0]).encode()) % 5]
+
+    def not_toxic(left):
+        s = sample(left, 2)
+        m = toxicity.fit([r[1] for r, _ in s], [v for _, v in s], [r[2] for r, _ in s])
+        return [r for r in left if m.score(pa.array([r[1], "three more words"], pa.string()))[0] < m.thresholds.get(r[2], 0.5)]
+
+    def good(left):
+        s = sample(left, 1)
+        m = quality.fit([r[1] for r, _ in s], [v for _, v in s])
+        return [r for r in left if 1 / (1 + np.exp(m.theta[-1] - m.latent(pa.array([r[1]], pa.string()))[0])) >= 0.5]
+
+    def single(left):
+        own = [(r[0], sets(r[1], c.WORDS)) for r in left if r[0] is not None]
+        part = {i: i for i, _ in own}
+        links = [(i, j) for i, a in own for j, b in own if i < j and a and b and 100 * len(a & b) >= c.PERCENT * len(a | b)]
+        for _ in own:
+            for i, j in links:
+                part[i] = part[j] = min(part[i], part[j])
+        return [r for r in left if r[0] is None or part[r[0]] == r[0]]
+
+    order = lambda found: sorted(map(tuple, found), key=repr)
+    docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), rows
+    for (name, stage), plain in zip(c.STAGES[:-1], (not_toxic, good, single), strict=True):
+        want = plain(left)
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert 0 < len(want) < len(left) and order(docs.collect()) == order(want), name
+        left = want
+
+    t = Tokenizer.from_file(PATH)
+    ids = [(r[0], [*t.encode(r[1], add_special_tokens=False).ids, 0]) for r in left]
+    pieces = c.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas().astype(object)
+    pieces = pieces.where(pieces.notna(), None)
+    known = {(d, len(own)): own for d, own in ids}
+    for p in pieces.itertuples():
+        assert zlib.crc32(np.array(known[p.doc_id, p.doc_tokens][p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
+    got = sorted(((p.doc_id, p.doc_tokens, k) for p in pieces.itertuples() for k in range(p.start, p.start + p.length)), key=repr)
+    assert got == sorted(((d, len(own), k) for d, own in ids for k in range(len(own))), key=repr)
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= packing.WINDOW
