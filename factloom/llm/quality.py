@@ -4,11 +4,12 @@ P(grade <= k) = sigmoid(theta_k - z) with ordered thresholds theta and one laten
 the mean over a whole text's words of hashed weights: of the word as written, of its character-class shape, of the
 shape pair with the word before, and of whether it repeats the word before. Any number of grades works (two in
 ``labels.quality``); the fitted thresholds give the expected grade and the tail probability P(grade >= k) that the
-selection uses.
+selection uses. Weights are rounded to a grid on which sums are exact, so a text's score doesn't depend on its batch.
 
 Defined results: a null or empty text has no words and gets the fixed low latent score ``EMPTY_Z`` (never selected
-where there is a choice); repeated rows are scored each on its own; an empty table gives an empty
-result; with fewer than two grades everything is kept at that grade. Other columns pass through untouched.
+where there is a choice); very long texts are scored whole; repeated rows are scored each on its own, so texts that are
+equal tie; an empty table gives an empty result; with fewer than two grades everything is kept at that grade. Other
+columns pass through untouched; those named like one of the outputs give way to it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SAMPLE_ROWS = 6000
 KEEP_PROBABILITY = 0.5
 WORDS, SHAPES = byte_table(SPACE), shape_table(SPACE)
 EMPTY_Z = -12.0
+#: Bits after the point of a weight: with 20, a sum over the words of any text that fits into memory is exact.
+GRID = 20
 
 
 def features(data, offsets, bits: int):
@@ -121,7 +124,7 @@ def fit(texts, y, bits: int = 16, epochs: int = 30, batch: int = 256, rate: floa
                 m2[i] = 0.999 * m2[i] + 0.001 * gr**2
                 params[i] -= rate * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.999**t)) + 1e-8)
     theta = np.concatenate([[params[1][0]], params[1][0] + np.cumsum(np.exp(params[1][1:]))])
-    return QualityModel(params[0], theta, grades)
+    return QualityModel(np.round(params[0] * 2.0**GRID) / 2.0**GRID, theta, grades)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:

@@ -3,6 +3,8 @@ and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -20,27 +22,33 @@ STEP_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is configured (local tests) a folder of our own."""
+    """The cluster's shared folder; in local mode, where none is configured, a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"file://{tempfile.gettempdir()}/factloom-shared"
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return f"file://{tempfile.gettempdir()}/factloom-shared"
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 class Cuts:
     """Tables written to the shared folder so that a lost executor costs one stage, not the whole lineage.
 
-    ``keep(df)`` writes and rereads; ``drop(df)`` deletes a table that no later step reads.
+    ``keep(df)`` writes and rereads; ``drop(df)`` deletes a table that no later step reads. What a returned DataFrame
+    still reads goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/factloom-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.made = 0
+        atexit.register(self._at_end)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        self.made += 1
+        path = f"{self.root}/{self.made}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._factloom_path = path
         return out
 
@@ -48,8 +56,16 @@ class Cuts:
         for df in frames:
             path = getattr(df, "_factloom_path", None)
             if path:
-                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def _at_end(self) -> None:
+        if self.made and self.spark.sparkContext._jsc is not None:  # a stopped session has nothing left to ask
+            with contextlib.suppress(Exception):  # the session may be going down at the same time
+                self._delete(self.root)
 
 
 # --------------------------------------------------------------------------------------------- word hashing
@@ -168,11 +184,16 @@ def fold_of(doc_id: int, folds: int = 5) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, columns=("text", "lang")):
+#: Most bytes of text that a fit takes to the driver.
+SAMPLE_BYTES = 256 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, columns=("text", "lang"), most_bytes: int = SAMPLE_BYTES):
     """Up to ``limit`` labelled rows outside fold 0, chosen by a hash of the id; a pandas frame ordered by doc_id.
 
-    The bound is on rows that go to the driver; the documents are read once and joined with at most ``limit`` ids.
-    Several labels of one document count as the largest; null ids, labels and texts take no part.
+    The documents are read once and joined with at most ``limit`` ids; of rows that repeat an id the smallest text
+    counts. Only what fits into ``most_bytes`` of whole texts, in the order of that hash, goes to the driver. Several
+    labels of one document count as the largest; null ids, labels and texts take no part.
     """
     spark = docs.sparkSession
     chosen = (
@@ -182,9 +203,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
     )
     picked = spark.createDataFrame(chosen.astype({"doc_id": "int64", "y": "int32"}), "doc_id long, y int")
-    found = docs.select("doc_id", *columns).where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").toPandas()
-    found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
-    return found.head(limit)
+    rows = docs.select("doc_id", *columns).where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c != "text"], "y")).alias("r")).select("doc_id", "r.*")
+    cuts = Cuts(spark)
+    small = cuts.keep(one.withColumn("size", F.octet_length("text")).withColumn("place", F.xxhash64("doc_id")))
+    sizes = small.select("place", "doc_id", "size").toPandas().sort_values(["place", "doc_id"])
+    fits = sizes["doc_id"][sizes["size"].cumsum() <= most_bytes].tolist()
+    if len(fits) < len(sizes):
+        small = small.join(F.broadcast(spark.createDataFrame([(i,) for i in fits], "doc_id long")), "doc_id")
+    found = small.select("doc_id", *columns, "y").toPandas().sort_values("doc_id").reset_index(drop=True)
+    cuts.drop(small)
+    return found
 
 
 # --------------------------------------------------------------------------------------------- components

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import ann, bpe, embedding_dups, html_text, near_dups, packing, quality, sharding, toxicity, urls
-from factloom.llm.shared import Cuts, components, fold_of
+from factloom.llm.shared import Cuts, components, fold_of, labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 public = pytest.importorskip("public_tokenizers")
@@ -105,6 +105,35 @@ def test_packing(spark):
             assert [zlib.crc32(own[s : s + n].tobytes()) for s, n in zip(g["start"], g["length"], strict=True)] == g["ids_crc32"].tolist()
     for _, g in pieces.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 1024
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)  # every id of every document, and little padding
+    want = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in df.collect()}
+    for p in pieces.itertuples():
+        assert zlib.crc32(want[p.doc_id][p.start : p.start + p.length].tobytes()) == p.ids_crc32 and p.doc_tokens == len(want[p.doc_id])
+    fill = pieces.groupby("sequence_id")["length"].sum()
+    assert (fill < 1024).sum() <= df.rdd.getNumPartitions() and set(pieces["doc_id"]) == set(want)
+    r, held = random.Random(4), packing.Packer(64, 0, most=20)  # the bound on open windows costs no padding
+    out = [piece for i in range(3000) for n in [r.choice((33, 34, 40, 5))] for piece in held.place((i, 0, n, np.arange(n), n))]
+    assert sum(map(len, held.open)) <= 20
+    out += list(held.finish())
+    windows: dict = {}
+    for piece in out:
+        windows[piece[5]] = windows.get(piece[5], 0) + piece[2]
+    assert sum(v < 64 for v in windows.values()) <= 1 and max(windows.values()) == 64
+    for counts, length in (([0, 3, 1, 0, 2], 3), ([0, 0, 5, 1, 0], 2), ([0, 1, 1, 1, 1], 4)):  # the level against plain search
+        q = packing.Packer(8, 0)
+        q.count[: len(counts)] = counts
+
+        def cost(h, q=q, n=length):
+            c = q.count.copy()
+            c[h] -= h > 0
+            if h + n < 8:
+                c[h + n] += 1
+            return (c[1:8] ** 2).sum()
+
+        levels = [h for h in range(8 - length + 1) if h == 0 or q.count[h]]
+        assert cost(q.level(length)) == min(map(cost, levels))
     p = packing.Packer(10, 0)
     list(p.place((1, 0, 6, np.arange(6), 6)))
     assert p.level(4) == 6 and p.level(5) == 0
@@ -181,6 +210,41 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), 8).count() == 0
 
 
+def test_sharding_follows_its_tree_and_keeps_groups(spark):
+    """Against plain Python: every split along the widest dimension, beside the weighted median, groups whole."""
+    r = random.Random(8)
+    rows = [(i, "w " * r.randrange(1, 400), r.choice(("en", "de", "fr")), "s", 5) for i in range(600)]
+    rows += [(600 + i, "copy " * 20, "en", "s", 5) for i in range(30)] + [(700 + i, "hot " * 60, "de", "s", 7) for i in range(400)]
+    table = Cuts(spark).keep(sharding.points(spark.createDataFrame(rows, DOCS)))
+    root = sharding.grow(table, 6)
+    at = [r.asDict() for r in table.collect()]
+    place = {r.doc_id: r.shard for r in table.withColumn("shard", sharding.place(root)).collect()}
+    total = sum(p["size"] for p in at)
+
+    def walk(node, own):
+        if node.left is None:
+            assert {place[p["doc_id"]] for p in own} == {node.first}
+            return
+        span = {d: max(p[d] for p in own) - min(p[d] for p in own) for d in sharding.DIMENSIONS}
+        assert span[node.dimension] == max(span.values())
+        key = lambda p: (p[node.dimension], p["kd_text"], p["kd_id"])
+        left, right = [p for p in own if key(p) < node.bound], [p for p in own if key(p) >= node.bound]
+        goal = sum(p["size"] for p in own) * (node.count // 2) / node.count
+        groups: dict = {}
+        for p in own:
+            groups[key(p)[:2]] = groups.get(key(p)[:2], 0) + p["size"]
+        bound = max((g for g in groups.values() if g <= sharding.GROUP * total / 6), default=0)
+        assert abs(sum(p["size"] for p in left) - goal) <= bound / 2 + sharding.TOLERANCE * total
+        for g, weight in groups.items():
+            if weight <= sharding.GROUP * total / 6:
+                assert len({key(p) < node.bound for p in own if key(p)[:2] == g}) == 1
+        walk(node.left, left)
+        walk(node.right, right)
+
+    walk(root, at)
+    assert len({place[i] for i in range(600, 630)}) == 1 and len({place[700 + i] for i in range(400)}) > 1
+
+
 def test_sharding_writes_whole_rows(spark, tmp_path):
     df = frame(spark)
     sharding.write_shards(df, str(tmp_path / "out"), 4)
@@ -211,6 +275,39 @@ def test_html(spark, extractor):
     assert got[0] == got[1] == got[6] == "" and got[2] == "plain & simple"
 
 
+def test_html_by_hand(spark):
+    """Pages that no generator of ours made, with the default extractor and its whole training."""
+    def page(main, around=""):
+        return (
+            '<!doctype html><html><head><title>T</title><style>p{}</style><script>if (a < b) {}</script></head><body><header class="site-header"><a href="/">Home</a> <a href="/n">News</a>'
+            f'</header><nav><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></nav>{main}{around}<footer class="footer"><p>&copy; 2020 The Company. All rights reserved.</p></footer></body></html>'
+        )
+
+    long = "The river rose in the night, and by the morning the lower fields were under water. Nobody had expected it so early."
+    cases = [
+        (page(f"<article><h1>A flood</h1><p>{long}</p><p>{long} &amp; more</p></article>"), f"A flood\n{long}\n{long} & more"),
+        (page(f"<article>\n<p>{long}\n   {long}</p>\n<p>Caf&eacute; &#233;</p></article>", '<aside class="sidebar"><h3>Related</h3><ul><li><a href="/x">Other story</a></li></ul></aside>'), f"{long} {long}\nCafé é"),
+        (page(f"<article><p>{long}</p></article>", '<div class="comments"><h3>Comments</h3><div class="comment"><b>Ann</b> I saw it too.</div></div>'), long),
+        (page(f'<article><p>{long}</p><div class="advertisement">Buy our boats now! <a href="/b">Shop</a></div><p>{long}</p></article>'), f"{long}\n{long}"),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)] + [(9, cases[0][0])], "page_id long, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(df).collect()}
+    assert [got[i][0] for i in range(len(cases))] == [w for _, w in cases] and got[9] == got[0] and got[0][1] == len(cases[0][1])
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_html_parsing_is_linear():
+    import time
+
+    bad = ['<div class="x" ' * 70_000, '<a "' * 250_000, '<a "' * 250_000 + ">", "<div>" * 30_000 + "</section>" * 30_000, "<td>" * 20_000 + "</div>" * 40_000, '<a "> ' + '" "> ' * 200_000, "<" * 1_000_000]
+    for source in bad:
+        began = time.time()
+        html_text.parse(source)
+        assert time.time() - began < 5
+    page = html_text.parse('a < b <p class="x>y">one <br>two</p></div>&lt;')
+    assert page.tags == ["#page", "p"] and [t for _, _, t, _ in page.texts] == ["a < b ", "one ", " ", "two", "&lt;"]
+
+
 def test_decoding_never_contradicts():
     odds, parents = np.array([1.0, -5.0, 3.0, 4.0, -1.0, 0.5]), [-1, 0, 1, 1, 0, 4]
     assert html_text.decode(odds, parents).tolist() == [True, True, True, True, False, False]
@@ -241,6 +338,50 @@ def test_toxicity(spark):
     assert 0 < toxicity.fit(["a"], [1], ["en"]).score(pa.array(["x"]))[0] < 1
 
 
+def test_scores_do_not_depend_on_neighbours(spark):
+    x, y = labelled()
+    models = toxicity.fit(x, y, ["en"] * len(x), table_bits=14), quality.fit(x, y, bits=14)
+    odd = ["", None, "word", "a", "", "two words", None, "x y z", *x[:40], "very long text " * 30_000, "", "vileword"]
+    for score in (models[0].score, models[1].latent):
+        alone = [float(score(pa.array([t], pa.string()))[0]) for t in odd]
+        assert score(pa.array(odd, pa.string())).tolist() == alone
+        assert score(pa.array(odd[::-1], pa.string())).tolist() == alone[::-1]
+        for pair in (["", ""], ["a", ""], ["", "a b c"], [None]):
+            assert score(pa.array(pair, pa.string())).tolist() == [float(score(pa.array([t], pa.string()))[0]) for t in pair]
+    for text in ("", None, "x"):
+        one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert 0 <= toxicity.score(one, models[0]).first()["toxicity_score"] <= 1 and quality.score(one, models[1]).count() == 1
+    clash = spark.createDataFrame([(1, "a", "mine", "mine")], "doc_id long, text string, threshold string, latent string")
+    assert toxicity.score(clash, models[0]).first()["threshold"] == 0.5 and quality.score(clash, models[1]).first()["threshold"] == "mine"
+    assert toxicity.score(clash.limit(0), models[0]).count() == quality.score(clash.limit(0), models[1]).count() == 0
+
+
+def test_labelled_sample(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 50} " + "x" * (i % 50), "en") for i in range(150)] + [(7, "aaa", "en"), (None, "n", "en"), (60, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)] + [(8, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 1000)
+    assert got["doc_id"].tolist() == [i for i in range(50) if fold_of(i)] and got["y"][got["doc_id"] == 8].tolist() == [1]
+    assert got["text"][got["doc_id"] == 7].tolist() in ([], ["aaa"])
+    few = labelled_sample(docs, labels, "toxic", 1000, most_bytes=200)
+    assert 0 < few["text"].map(len).sum() <= 200 and set(few["doc_id"]) < set(got["doc_id"])
+    assert len(labelled_sample(docs, labels, "toxic", 5)) <= 5 and len(labelled_sample(docs.limit(0), labels, "toxic", 5)) == 0
+
+
+@pytest.mark.parametrize("operator", [toxicity, quality])
+def test_classifier_queries_learn_outside_the_held_out_fold(spark, tmp_path, operator):
+    x, y = labelled(600, seed=9)
+    if operator is quality:
+        x = [" ".join("###" if v and k % 2 else w for k, w in enumerate(t.split())) for t, v in zip(x, y, strict=True)]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(x)] + [(900, None, None), (901, "", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    held = [i for i in range(600) if fold_of(i) == 0]
+    lies = [(i, int(y[i] == 0), int(y[i])) for i in range(600) if i not in held] + [(i, int(y[i]), int(not y[i])) for i in held]
+    spark.createDataFrame(lies, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in operator.query(spark, str(tmp_path)).collect()}
+    assert len(got) == 602 and all(got[i].held_out == (fold_of(i) == 0) for i in range(600))
+    said = [got[i].predicted if operator is toxicity else int(not got[i].selected) for i in held]
+    assert np.mean([s == y[i] for s, i in zip(said, held, strict=True)]) > 0.85  # the lies about the held-out rows taught nothing
+
+
 def test_quality_is_ordinal(spark):
     r = random.Random(6)
     x = [" ".join(r.choices(["good", "fine"], k=20 - 6 * g) + r.choices(["BAD!!", "###"], k=6 * g)) for g in (0, 1, 2, 3) for _ in range(80)]
