@@ -11,7 +11,8 @@ many kinds of containers among menus, headers, footers, sidebars, notices, adver
 
 Defined results: null or empty html and pages without main text give an empty string; a page without any element is
 its own text; unclosed and stray tags are read as browsers do for the common cases; repeated rows are extracted each
-on its own; very long pages are handled whole; an empty table gives an empty result.
+on its own; very long pages are handled whole, in time that grows with their length whatever markup they hold; an empty
+table gives an empty result; input columns named ``text`` or ``n_chars`` give way to the outputs.
 """
 
 from __future__ import annotations
@@ -19,12 +20,17 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .shared import steps
+
 #: Elements that don't break a block, whose content is no text, that have no content, that end another.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math select button object audio video canvas".split())
@@ -33,8 +39,13 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements beyond which an end tag doesn't look for its start.
 WALLS = frozenset(("#page", "td", "th", "table", "article", "body"))
+#: Bytes of html that are worked on together (a longer page is a step of its own).
+STEP_BYTES = 2 << 20
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag up to its ``>``, which may stand inside quotes; possessive, so a failure costs one pass.
+REST = re.compile(r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+(?=>)""", re.S)
+SPECIAL = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARK = ""
@@ -48,58 +59,134 @@ class Page:
     texts: list = field(default_factory=list)  # (node, block, text, inside a link)
 
 
+class _Ends:
+    """Where tags end. Passes over the page are few, whatever it holds: no tag can make the next one search in vain."""
+
+    def __init__(self, source: str):
+        self.source, self.next, self.table = source, -1, None
+
+    def plain(self, at: int) -> int:
+        """The next ``>`` from ``at``, -1 for none; calls come with rising ``at``."""
+        if self.next is not None and self.next < at:
+            found = self.source.find(">", at)
+            self.next = found if found >= 0 else None
+        return -1 if self.next is None else self.next
+
+    def tag(self, at: int) -> int:
+        """The ``>`` of the tag whose attributes begin at ``at``: outside quotes or, if no quote closes, the next one."""
+        if self.plain(at) < 0:
+            return -1
+        if self.table is None:
+            m = REST.match(self.source, at)
+            if m:
+                return m.end()
+            self._tabulate()
+        k = bisect_left(self.table[0], at)
+        end = self.table[1][k] if k < len(self.table[0]) else -1
+        return end if end >= 0 else self.plain(at)
+
+    def _tabulate(self) -> None:
+        """For each ``>`` and quote the end of a tag that meets it outside quotes, from the last one backwards."""
+        places = [m.start() for m in SPECIAL.finditer(self.source)]
+        ends, seen = [-1] * len(places), {}
+        for k in range(len(places) - 1, -1, -1):
+            c = self.source[places[k]]
+            if c == ">":
+                ends[k] = places[k]
+            else:
+                close = seen.get(c, len(places))
+                ends[k] = ends[close + 1] if close + 1 < len(places) else -1
+                seen[c] = k
+        self.table = (places, ends)
+
+
+class _Open:
+    """The open elements, with the places of each name, so that an end tag finds its start without a walk."""
+
+    def __init__(self, tags: list):
+        self.tags, self.nodes, self.places, self.walls = tags, [0], {}, []
+
+    def push(self, node: int) -> None:
+        name = self.tags[node]
+        self.places.setdefault(name, []).append(len(self.nodes))
+        if name in WALLS:
+            self.walls.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        name = self.tags[self.nodes.pop()]
+        self.places[name].pop()
+        if name in WALLS:
+            self.walls.pop()
+
+    def close(self, name: str) -> bool:
+        """Ends the nearest element of that name that no wall hides, and all within it."""
+        own = self.places.get(name)
+        if not own or (name not in WALLS and self.walls and own[-1] < self.walls[-1]):
+            return False
+        for _ in range(len(self.nodes) - own[-1]):
+            self.pop()
+        return True
+
+
 def parse(source: str) -> Page:
-    page, stack, links, block, at = Page(), [0], 0, 0, 0
-    tags, texts = page.tags, page.texts
-    find, size = TOKEN.search, len(source)
+    page, links, block, at, look = Page(), 0, 0, 0, 0
+    tags, texts, size = page.tags, page.texts, len(source)
+    stack, ends = _Open(tags), _Ends(source)
     while at < size:
-        m = find(source, at)
-        if m is None:
-            texts.append((stack[-1], block, source[at:], links > 0))
+        start = source.find("<", look)
+        if start < 0:
+            texts.append((stack.nodes[-1], block, source[at:], links > 0))
             break
-        if m.start() > at:
-            texts.append((stack[-1], block, source[at : m.start()], links > 0))
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        m, after = None, -1
+        if source.startswith("<!--", start):
+            after = source.find("-->", start + 4) + 3
+            after = after if after > 2 else size
+        elif source.startswith("<![CDATA[", start):
+            after = source.find("]]>", start + 9) + 3
+            after = after if after > 2 else size
+        elif source.startswith(("<!", "<?"), start):
+            after = ends.plain(start) + 1 or size
+        elif ends.plain(start) > 0 and (m := NAME.match(source, start)):
+            after = ends.tag(m.end()) + 1
+        if after <= 0:  # no markup: the sign is text
+            look = start + 1
+            continue
+        if start > at:
+            texts.append((stack.nodes[-1], block, source[at:start], links > 0))
+        at = look = after
+        if m is None:
             continue
-        name, end = name.lower(), m[1] or m[4]
+        name, end, rest = m[2].lower(), m[1], source[m.end() : after - 1]
         if name in INLINE:
             if name == "a":
                 links = 0 if end else 1
             elif name == "br":
-                texts.append((stack[-1], block, " ", False))
+                texts.append((stack.nodes[-1], block, " ", False))
             continue
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = tags[stack[i]]
-                if tag == name:
-                    del stack[i:]
-                    links = 0
-                    break
-                if tag in WALLS and name not in WALLS:
-                    break
+            if stack.close(name):
+                links = 0
             block += 1
             continue
-        rest = m[3] if m[2] else m[6]
-        if name in CLOSES_P and tags[stack[-1]] == "p":
+        if name in CLOSES_P and tags[stack.nodes[-1]] == "p":
             stack.pop()
         for other in ENDS.get(name, ()):
-            if tags[stack[-1]] == other:
+            if tags[stack.nodes[-1]] == other:
                 stack.pop()
                 break
         block += 1
         if name in RAW:
             close = re.compile(f"</{name}\\b[^>]*(?:>|\\Z)", re.I).search(source, at)
-            at = close.end() if close else size
+            at = look = close.end() if close else size
         tokens = ()
         if "=" in rest and (found := ATTRIBUTE.findall(rest)):
             tokens = tuple(dict.fromkeys(p.lower() for v in found for p in PIECE.findall(v)))
         tags.append(name)
         page.attributes.append(tokens)
-        page.parents.append(stack[-1])
+        page.parents.append(stack.nodes[-1])
         if name not in VOID and name not in RAW and not rest.endswith("/"):
-            stack.append(len(tags) - 1)
+            stack.push(len(tags) - 1)
     return page
 
 
@@ -212,16 +299,17 @@ class Boosted:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 6, rate: float = 0.15, bins: int = 40, l2: float = 4.0, least: float = 8.0) -> Boosted:
-    """Second-order boosting of the logistic loss on binned features."""
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 6, rate: float = 0.15, bins: int = 40, l2: float = 4.0, least: float = 8.0, share: float = 0.3, seed: int = 3) -> Boosted:
+    """Second-order boosting of the logistic loss on binned features; each tree sees a random ``share`` of the nodes."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    code = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
+    codes = [np.searchsorted(e, x[:, j], side="left").astype(np.int32) for j, e in enumerate(edges)]
     base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    z, inner = np.full(len(y), base), 2**depth - 1
+    z, inner, rng = np.full(len(y), base), 2**depth - 1, np.random.default_rng(seed)
     features, bounds, values = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, inner + 1))
     for t in range(trees):
-        p = 1 / (1 + np.exp(-z))
-        g, h, k = p - y, p * (1 - p), np.zeros(len(y), np.int64)
+        own = np.flatnonzero(rng.random(len(y)) < share) if share < 1 else np.arange(len(y))
+        p = 1 / (1 + np.exp(-z[own]))
+        g, h, k, seen = p - y[own], p * (1 - p), np.zeros(len(own), np.int32), [c[own] for c in codes]
         for level in range(depth):
             first, width = 2**level - 1, 2**level
             at = k - first
@@ -230,7 +318,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 6, rate: f
             for j, e in enumerate(edges):
                 if not len(e):
                     continue
-                cell, m = at * (len(e) + 1) + code[:, j], len(e) + 1
+                m = len(e) + 1
+                cell = at * m + seen[j]
                 gl = np.cumsum(np.bincount(cell, g, width * m).reshape(width, m), 1)[:, :-1]
                 hl = np.cumsum(np.bincount(cell, h, width * m).reshape(width, m), 1)[:, :-1]
                 gain = gl**2 / (hl + l2) + (gt[:, None] - gl) ** 2 / (ht[:, None] - hl + l2) - (gt**2 / (ht + l2))[:, None]
@@ -240,10 +329,10 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 6, rate: f
                 new = top > best
                 best[new] = top[new]
                 features[t, first : first + width][new], bounds[t, first : first + width][new] = j, e[c[new]]
-            k = 2 * k + 1 + (x[np.arange(len(x)), features[t, k]] > bounds[t, k])
+            k = 2 * k + 1 + (x[own, features[t, k]] > bounds[t, k])
         leaf = k - inner
         values[t] = -rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + l2)
-        z += values[t][leaf]
+        z += Boosted(features[t : t + 1], bounds[t : t + 1], values[t : t + 1], 0.0).predict(x)
     return Boosted(features, bounds, values, base)
 
 
@@ -412,7 +501,9 @@ def make_page(r: random.Random) -> str:
     return f"<!DOCTYPE html><html lang=en>{head}<body>{body}{pick('</body></html>', '</body></html>', '')}"
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = 1200, seed: int = 17, **how) -> Extractor:
+    """The same pages and trees at every call, so a process fits them once."""
     r = random.Random(seed)
     parsed = [parse(make_page(r)) for _ in range(pages)]
     feats, labels = [], []
@@ -448,8 +539,9 @@ def extract(pages: DataFrame, extractor: Extractor | None = None, carry: list[st
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            lengths = pc.fill_null(pc.binary_length(batch.column(read.index(column))), 0).to_numpy(zero_copy_only=False)
+            for i, j in steps(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), STEP_BYTES):
+                part = batch.slice(i, j - i)
                 out = bc.value.texts(part.column(read.index(column)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*names, "text", "n_chars"])
 
