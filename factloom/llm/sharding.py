@@ -1,18 +1,20 @@
 """Sharding: k-d tree partitioning with built-in functions only.
 
 Rows are points whose coordinates are metadata that equal texts share: bytes and bytes per character on logarithmic
-scales, and the language at a hashed place. A node is split along the dimension in which its points spread widest, at the weighted median: the place where the
-cumulated bytes reach the share of the leaves on its left. Leaves have reached the target, the total bytes over the
-number of shards. Ties along a dimension are ordered by a hash of the text and then by a hash of the id, so equal texts
-stay together unless a median falls among them, and a group of any size can be split.
+scales, and the language at a hashed place. A node is split along the dimension in which its points spread widest, at
+the weighted median: the place where the cumulated bytes reach the share of the leaves on its left. Leaves have reached
+the target, the total bytes over the number of shards. Ties along a dimension are ordered by a hash of the text and then
+by a hash of the id. Equal texts stay together: a median falls beside their group, on the nearer side, unless the group
+weighs more than ``GROUP`` of a shard; then the group is split, so one of any size doesn't burden a single shard.
 
-A median is found digit by digit: one grouped sum over at most 4096 bins of each open node tells the bin that it falls
-into, which the next round refines; all nodes of a level share a round. The driver holds bins and splits, never rows.
-The tree is one column expression, so putting rows into shards is a narrow projection.
+A level of the tree takes one pass for a histogram of all its nodes in all dimensions, which gives spans and the bins in
+which the medians fall, and as a rule one more that orders a bin's rows by 12 bits of the text's hash; only a bin that
+still weighs too much is refined further. Cumulated sums are taken where the histogram is, so the driver gets a row for
+each node and dimension. The tree is one column expression over the points, which are written once.
 
 Defined results: a null text has size 16 and a null checksum, a null language or count of characters has a place of its own;
 repeated rows each get a slot; an empty table gives an empty result; very long texts weigh what they weigh (a shard
-can't be smaller than its largest row).
+can't be smaller than its largest row); other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -26,24 +28,25 @@ from .shared import Cuts
 
 SHARDS = 40
 ROW_BYTES = 16
-#: A median is good enough when the bin it falls into holds at most this part of a shard.
-TOLERANCE = 0.002
+#: A median is good enough when the bin it falls into holds at most this part of a shard; a group of equal texts that
+#: weighs no more than that part of a shard is never split.
+TOLERANCE, GROUP = 0.002, 0.5
 #: Rows that one slot-numbering task is to have, about.
 SLOT_ROWS = 50_000
 DIGIT, VALUE_BITS, TEXT_BITS, ID_BITS = 12, 12, 48, 60
-KEY_BITS = VALUE_BITS + TEXT_BITS + ID_BITS
 DIMENSIONS = ("kd_size", "kd_lang", "kd_width")
 
 
 @dataclass
 class Node:
-    """A leaf's shards are [first, first + count); a split node has a dimension, a 120-bit bound and two children."""
+    """A leaf's shards are [first, first + count); a split node has a dimension, a bound (value, text hash, id hash) and
+    two children."""
 
     first: int
     count: int
     name: int
     dimension: str | None = None
-    bound: int = 0
+    bound: tuple[int, int, int] = (0, 0, 0)
     left: Node | None = None
     right: Node | None = None
 
@@ -71,36 +74,18 @@ def points(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", size_of().alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), *coordinates())
 
 
-def _parts(bound: int) -> tuple[int, int, int]:
-    return bound >> (TEXT_BITS + ID_BITS), bound >> ID_BITS & ((1 << TEXT_BITS) - 1), bound & ((1 << ID_BITS) - 1)
-
-
-def _below(dimension: str, bound: int) -> Column:
-    v, t, i = _parts(bound)
-    value = F.col(dimension)
-    return (value < v) | ((value == v) & ((F.col("kd_text") < t) | ((F.col("kd_text") == t) & (F.col("kd_id") < i))))
+def _cases(node: Node, leaf) -> str:
+    if node.left is None:
+        return f"int({leaf(node)})"
+    v, t, i = node.bound
+    d = node.dimension
+    below = f"{d} < {v} OR ({d} = {v} AND (kd_text < {t}L OR (kd_text = {t}L AND kd_id < {i}L)))"
+    return f"CASE WHEN {below} THEN {_cases(node.left, leaf)} ELSE {_cases(node.right, leaf)} END"
 
 
 def place(node: Node, leaf=lambda n: n.first) -> Column:
     """The tree as one expression over the columns of ``points``."""
-    if node.left is None:
-        return F.lit(leaf(node)).cast("int")
-    return F.when(_below(node.dimension, node.bound), place(node.left, leaf)).otherwise(place(node.right, leaf))
-
-
-def _known(k: int) -> tuple[int, int, int]:
-    """How many bits of value, text hash and id hash the first k digits cover."""
-    bits = k * DIGIT
-    v = min(bits, VALUE_BITS)
-    t = min(bits - v, TEXT_BITS)
-    return v, t, bits - v - t
-
-
-def _digit(k: int) -> Column:
-    """The k-th 12-bit digit of the 120-bit key (value, text hash, id hash)."""
-    v, t, i = _known(k + 1)
-    column, left = (F.col("kd_id"), ID_BITS - i) if i else (F.col("kd_text"), TEXT_BITS - t) if t else (F.col("v"), VALUE_BITS - v)
-    return F.shiftright(column, left).bitwiseAND((1 << DIGIT) - 1)
+    return F.expr(_cases(node, leaf))
 
 
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -111,98 +96,113 @@ def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(name for name, _ in fields)})"))
 
 
-def grow(cuts: Cuts, table: DataFrame, shards: int = SHARDS) -> tuple[Node, DataFrame]:
-    """The tree of ``table`` (columns of ``points``), and the table with the leaf of each row as ``node``."""
-    spark = cuts.spark
+def _weight() -> list[Column]:
+    return [F.sum("size").alias("bytes"), (F.min("kd_text") == F.max("kd_text")).alias("one")]
+
+
+def _reached(histogram: DataFrame, by: list[str], at: str, goal: Column) -> DataFrame:
+    """For each ``by``: least and greatest bin and, where the bytes reach ``goal``, (bin, bytes below it, its bytes, whether
+    it holds equal texts only)."""
+    own = Window.partitionBy(*by)
+    upto = own.orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    table = histogram.withColumn("cum", F.sum("bytes").over(upto)).withColumn("all", F.sum("bytes").over(own))
+    hit = F.min(F.when(F.col("cum") >= goal, F.struct(F.col(at).alias("bin"), (F.col("cum") - F.col("bytes")).alias("below"), "bytes", "one"))).alias("hit")
+    return table.groupBy(*by).agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max("all").alias("all"), hit)
+
+
+@dataclass
+class _Search:
+    """A node's median on its way: what is known of its place and the bytes still to find there."""
+
+    node: Node
+    value: int
+    goal: float
+    text: int = 0
+    id: int = 0
+
+    def settle(self, digits: int, bin_: int, below: int, weight: int, one: bool, target: float) -> bool:
+        """Takes the ``digits``-th bin in; true where the median lies on one of the bin's sides."""
+        text = TEXT_BITS // DIGIT
+        whole = digits <= text and one or digits == text
+        last = digits == (TEXT_BITS + ID_BITS) // DIGIT
+        if digits == 0:
+            self.value = bin_
+        elif digits <= text:
+            self.text |= bin_ << (TEXT_BITS - DIGIT * digits)
+        else:
+            self.id |= bin_ << (ID_BITS - DIGIT * (digits - text))
+        self.goal -= below
+        if weight > TOLERANCE * target and not last and not (whole and weight <= GROUP * target):
+            return False
+        after = int(weight - self.goal < self.goal)
+        if digits == 0:
+            self.node.bound = (self.value + after, 0, 0)
+        elif digits <= text:
+            self.node.bound = (self.value, self.text + (after << (TEXT_BITS - DIGIT * digits)), 0)
+        else:
+            self.node.bound = (self.value, self.text, self.id + (after << (ID_BITS - DIGIT * (digits - text))))
+        return True
+
+
+def _refine(at: DataFrame, seeking: list[_Search], digits: int):
+    """One row for each search: where the next digit's cumulated bytes reach its goal."""
+    text = TEXT_BITS // DIGIT
+    state = [(s.node.name, DIMENSIONS.index(s.node.dimension) + 1, s.value, s.text, s.id, f"{s.goal!r}D") for s in seeking]
+    to = _small(at.sparkSession, state, "node int, dim int, q1 long, q2 long, q3 long, goal double")
+    t, i = min(digits - 1, text) * DIGIT, max(digits - 1 - text, 0) * DIGIT
+    same = F.element_at(F.array(*DIMENSIONS), F.col("dim")) == F.col("q1")
+    same &= F.shiftright("kd_text", TEXT_BITS - t) == F.shiftright("q2", TEXT_BITS - t)
+    same &= F.shiftright("kd_id", ID_BITS - i) == F.shiftright("q3", ID_BITS - i)
+    column, left = (F.col("kd_text"), TEXT_BITS - t - DIGIT) if digits <= text else (F.col("kd_id"), ID_BITS - i - DIGIT)
+    digit = F.shiftright(column, left).bitwiseAND((1 << DIGIT) - 1).alias("bin")
+    rows = at.join(to, "node").where(same).groupBy("node", "goal", digit).agg(*_weight())
+    return {r["node"]: r["hit"] for r in _reached(rows, ["node", "goal"], "bin", F.col("goal")).collect()}
+
+
+def grow(table: DataFrame, shards: int = SHARDS) -> Node:
+    """The tree of ``table`` (columns of ``points``)."""
     total = table.agg(F.sum("size")).first()[0] or 0
     target = total / shards
     root, name = Node(0, shards, 0), 0
-    at = table.withColumn("node", F.lit(0))
-    value = F.element_at(F.array(*DIMENSIONS), F.col("dim"))
     open_ = [root] if shards > 1 and total else []
     while open_:
-        spans = {
-            r["node"]: r for r in at.groupBy("node").agg(
-                F.sum("size").alias("bytes"), *(x for d in DIMENSIONS for x in (F.min(d).alias(f"{d}_min"), F.max(d).alias(f"{d}_max")))
-            ).collect()
-        }
-        goal, prefix, below = {}, {}, {}
-        seeking = [n for n in open_ if n.name in spans]
-        for n in seeking:
-            s = spans[n.name]
-            n.dimension = max(DIMENSIONS, key=lambda d: s[f"{d}_max"] - s[f"{d}_min"])
-            # shares of what is really here, so that errors above don't pile up in the last leaf
-            goal[n.name], prefix[n.name], below[n.name] = s["bytes"] * (n.count // 2) / n.count, 0, 0
-        split = list(seeking)
-        for k in range(KEY_BITS // DIGIT):
-            if not seeking:
-                break
-            v, t, i = _known(k)
-            state = []
-            for n in seeking:
-                known = prefix[n.name]
-                state.append((n.name, DIMENSIONS.index(n.dimension) + 1, known >> (t + i), known >> i & ((1 << t) - 1), known & ((1 << i) - 1)))
-            rows = at.join(_small(spark, state, "node int, dim int, q1 long, q2 long, q3 long"), "node").withColumn("v", value)
-            rows = rows.where(
-                (F.shiftright("v", VALUE_BITS - v) == F.col("q1"))
-                & (F.shiftright("kd_text", TEXT_BITS - t) == F.col("q2"))
-                & (F.lit(True) if i == 0 else F.shiftright("kd_id", ID_BITS - i) == F.col("q3"))
-            )
-            bins: dict[int, list] = {}
-            for r in rows.groupBy("node", _digit(k).alias("bin")).agg(F.sum("size").alias("bytes")).collect():
-                bins.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
-            still = []
-            for n in seeking:
-                for b, weight in sorted(bins[n.name]):
-                    if below[n.name] + weight >= goal[n.name]:
-                        break
-                    below[n.name] += weight
-                prefix[n.name] = prefix[n.name] << DIGIT | b
-                if weight <= TOLERANCE * target or k == KEY_BITS // DIGIT - 1:
-                    nearer = below[n.name] + weight - goal[n.name] < goal[n.name] - below[n.name]
-                    n.bound = (prefix[n.name] + nearer) << (KEY_BITS - DIGIT * (k + 1))
-                else:
-                    still.append(n)
-            seeking = still
-        moves = []
+        at = table.withColumn("node", place(root, lambda n: n.name)).where(F.col("node").isin([n.name for n in open_]))
+        value = F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.col(d).alias("bin")) for k, d in enumerate(DIMENSIONS)]))
+        bins = at.select("node", "size", "kd_text", value.alias("v")).groupBy("node", "v.dim", "v.bin").agg(*_weight())
+        # shares of what is really here, so that errors above don't pile up in the last leaf
+        share = F.create_map(*[F.lit(x) for n in open_ for x in (n.name, (n.count // 2) / n.count)])[F.col("node")]
+        found: dict[int, list] = {}
+        for r in _reached(bins, ["node", "dim"], "bin", F.col("all") * share).collect():
+            found.setdefault(r["node"], []).append(r)
+        seeking = []
+        for n in open_:
+            if n.name in found:
+                widest = max(found[n.name], key=lambda r: (r["hi"] - r["lo"], -r["dim"]))
+                n.dimension = DIMENSIONS[widest["dim"]]
+                s = _Search(n, 0, widest["all"] * ((n.count // 2) / n.count))
+                if not s.settle(0, *widest["hit"], target):
+                    seeking.append(s)
+        split, digits = [n for n in open_ if n.dimension], 0
+        while seeking:
+            digits += 1
+            hits = _refine(at, seeking, digits)
+            seeking = [s for s in seeking if not s.settle(digits, *hits[s.node.name], target)]
         open_ = []
         for n in split:
             half = n.count // 2
             n.left, n.right = Node(n.first, half, name + 1), Node(n.first + half, n.count - half, name + 2)
             name += 2
-            moves.append((n.name, DIMENSIONS.index(n.dimension) + 1, *_parts(n.bound), n.left.name, n.right.name))
             open_ += [c for c in (n.left, n.right) if c.count > 1]
-        if moves:
-            to = _small(spark, moves, "node int, dim int, b1 long, b2 long, b3 long, low int, high int")
-            v = F.col("v")
-            less = (v < F.col("b1")) | (
-                (v == F.col("b1"))
-                & ((F.col("kd_text") < F.col("b2")) | ((F.col("kd_text") == F.col("b2")) & (F.col("kd_id") < F.col("b3"))))
-            )
-            moved = at.join(to, "node", "left").withColumn("v", value)
-            moved = moved.withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).when(less, F.col("low")).otherwise(F.col("high")))
-            new = cuts.keep(moved.select(*at.columns))
-            cuts.drop(at)
-            at = new
-    return root, at
-
-
-def leaves(node: Node):
-    if node.left is None:
-        yield node
-    else:
-        yield from leaves(node.left)
-        yield from leaves(node.right)
+    return root
 
 
-def assign(at: DataFrame, root: Node, rows: int, shards: int = SHARDS) -> DataFrame:
-    """Adds shard and slot (gapless from 0 in each shard) to the rows that ``grow`` has put into leaves.
+def assign(table: DataFrame, root: Node, rows: int, shards: int = SHARDS) -> DataFrame:
+    """Adds shard and slot (gapless from 0 in each shard) to the rows of ``points``.
 
     A shard is numbered in blocks of bounded size; a block begins where the blocks before it end.
     """
     blocks = 8 * max(1, -(-rows // (shards * SLOT_ROWS)))
-    to = _small(at.sparkSession, [(n.name, n.first) for n in leaves(root)], "node int, shard int")
-    placed = at.join(to, "node").withColumn("kd_block", F.pmod(F.col("kd_id"), F.lit(blocks)))
+    placed = table.withColumn("shard", place(root)).withColumn("kd_block", F.pmod(F.col("kd_id"), F.lit(blocks)))
     begin = Window.partitionBy("shard").orderBy("kd_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "kd_block").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "kd_block", F.coalesce(F.sum("n").over(begin), F.lit(0)).alias("kd_start"))
@@ -215,21 +215,19 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Every row's doc_id, size, checksum, shard and slot."""
     cuts = Cuts(docs.sparkSession)
     table = cuts.keep(points(docs))
-    rows = table.count()
-    root, at = grow(cuts, table, shards)
-    return assign(at, root, rows, shards)
+    return assign(table, grow(table, shards), table.count(), shards)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> Node:
     """Writes the whole rows, texts included, into one folder per shard; the placing itself needs no lookup."""
     cuts = Cuts(docs.sparkSession)
     table = cuts.keep(points(docs))
-    root, at = grow(cuts, table, shards)
     own = [c for c in table.columns if c.startswith("kd_")]
     if clash := {*own, "shard"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} clash with the operator's own")
+    root = grow(table, shards)
     docs.select("*", *coordinates()).withColumn("shard", place(root)).drop(*own).write.partitionBy("shard").parquet(path)
-    cuts.drop(table, at)
+    cuts.drop(table)
     return root
 
 
