@@ -10,7 +10,7 @@ The vocabulary file (``vocab`` and ``merges`` of a byte-level tokenizer in the p
 read once on the driver. Special tokens of the file that occur literally in a text are single ids, as in the library.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded alike; very long texts are handled whole;
-an empty table gives an empty result.
+an empty table gives an empty result; input columns named like one of the outputs give way to it.
 """
 
 from __future__ import annotations
@@ -78,6 +78,7 @@ class Vocabulary:
         self.decimal = np.array([list(d.ljust(8, b"\0")) for d in digits], np.uint8)
         self.pair = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)  # by rank
         self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.rising = bool((np.diff(self.made) > 0).all() and self.base.max() < self.made.min())
         self.table = HashTable(1 << 19)
         self.table.put(self.pair.astype(np.uint64) + np.uint64(1), np.arange(len(merges), dtype=np.int32))
 
@@ -365,7 +366,12 @@ def digests(docs: DataFrame, path: str, carry: list[str] | None = None) -> DataF
 
 
 def library_merge(vocabulary: Vocabulary, symbols: np.ndarray, bounds: np.ndarray):
-    """The same ids as ``merge_all`` from an installed BPE library, word by word (its ranks are the vocabulary's ids)."""
+    """The same ids as ``merge_all`` from an installed BPE library, word by word (its ranks are the vocabulary's ids).
+
+    A vocabulary whose ids don't rise with its ranks, which the library would merge wrongly, goes to ``merge_all``.
+    """
+    if not vocabulary.rising:
+        return merge_all(vocabulary, symbols, bounds)
     if "library" not in _worker:
         import tiktoken
 
@@ -385,10 +391,10 @@ def _pairs(bounds):
 
 
 def _run(docs, path, carry, new, pack):
-    names = carry or docs.columns
+    fields = [x.strip().split(" ")[0] for x in new.split(", ")]
+    names = carry or [n for n in docs.columns if n not in fields]
     read = names if "text" in names else [*names, "text"]
     bc = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))  # fixed size: the vocabulary
-    fields = [x.strip().split(" ")[0] for x in new.split(", ")]
 
     def run(batches):
         e = worker_encoder(bc.value, path)

@@ -2,14 +2,16 @@
 
 A document is its token ids and a closing id. Whole windows' worth of it fill windows of their own; the rest goes,
 online, to the fill level that leaves the smallest sum of squared counts of partially filled windows (counts per level
-stand in an array; a new window is level 0 and costs what it adds). At the end of a partition the emptiest open
-windows are cut into the gaps of the fullest ones, so that a partition pads one window at most.
+stand in an array; a new window is level 0 and costs what it adds). At the end of a partition, and whenever more than
+``MOST_OPEN`` windows are open, the emptiest open windows are cut into the gaps of the fullest ones, which leaves one
+open window at most; so a partition pads one window at most.
 
 Every partition packs on its own, in one pass and without a shuffle; a re-run task gives the same windows. A task holds
 its open windows only. Window ids are the partition's number and a count.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed each on their own (also under
-a null doc_id); very long texts are cut into whole windows; an empty table gives an empty result.
+a null doc_id); very long texts are cut into whole windows; of levels that cost the same the fullest is taken; an empty
+table gives an empty result; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ from .bpe import Vocabulary, library_merge, text_steps, worker_encoder
 
 WINDOW = 1024
 CLOSING_ID = 0
+#: Open windows that a task holds (at 1024 ids each, 16 MB).
+MOST_OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Packer:
     """Open windows by fill level; ``place`` and ``finish`` yield pieces of windows that are complete."""
 
-    def __init__(self, size: int, first: int):
-        self.size, self.next = size, first
+    def __init__(self, size: int, first: int, most: int = MOST_OPEN):
+        self.size, self.next, self.most = size, first, most
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list] = [[] for _ in range(size + 1)]  # by level: windows, each a list of pieces
 
@@ -61,6 +65,8 @@ class Packer:
         else:
             self.open[h + length].append(window)
             self.count[h + length] += 1
+            if not h and self.count.sum() > self.most:
+                yield from self.cut()
 
     def emit(self, window):
         at = 0
@@ -69,10 +75,11 @@ class Packer:
             at += length
         self.next += 1
 
-    def finish(self):
-        """Cuts the emptiest windows into the gaps of the fullest."""
+    def cut(self):
+        """Cuts the emptiest windows into the gaps of the fullest; what doesn't fill a window stays open."""
         left = [w for level in reversed(self.open) for w in level]
         fill = [sum(p[2] for p in w) for w in left]
+        self.open, self.count[:] = [[] for _ in range(self.size + 1)], 0
         i, j = 0, len(left) - 1
         while i < j:
             gap = self.size - fill[i]
@@ -89,7 +96,16 @@ class Packer:
             fill[j] -= take
             if not left[j]:
                 j -= 1
-        for w in left[i : j + 1]:
+        for w, full in zip(left[i : j + 1], fill[i : j + 1], strict=True):
+            if full == self.size:
+                yield from self.emit(w)
+            else:
+                self.open[full].append(w)
+                self.count[full] += 1
+
+    def finish(self):
+        yield from self.cut()
+        for w in [w for level in self.open for w in level]:
             yield from self.emit(w)
 
 
@@ -117,7 +133,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, closing: int = CLOSIN
                     for k in range(0, whole, window):
                         rows.extend(packer.emit([(doc, k, window, own[k : k + window], total)]))
                     if whole < total:
-                        rows.extend(packer.place((doc, whole, total - whole, own[whole:], total)))
+                        rows.extend(packer.place((doc, whole, total - whole, own[whole:].copy(), total)))
                 yield table(rows)
         yield table(list(packer.finish()))
 

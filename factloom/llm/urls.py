@@ -9,7 +9,8 @@ all rules' states together; the step is vectorised over the URLs of a batch, whi
 The longest rule that matches gives the verdict (on equal length: block); no match gives ``default``.
 
 Defined results: a null url or one without ``://`` has an empty host and path and gets the default; repeated rows are
-judged each on its own; very long urls are scanned whole; an empty table gives an empty result. Other columns pass.
+judged each on its own; very long urls are scanned whole; an empty table gives an empty result. Other columns pass;
+those named like one of the outputs give way to it.
 """
 
 from __future__ import annotations
