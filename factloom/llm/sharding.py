@@ -9,8 +9,8 @@ weighs more than ``GROUP`` of a shard; then the group is split, so one of any si
 
 A level of the tree takes one pass for a histogram of all its nodes in all dimensions, which gives spans and the bins in
 which the medians fall, and as a rule one more that orders a bin's rows by 12 bits of the text's hash; only a bin that
-still weighs too much is refined further. Cumulated sums are taken where the histogram is, so the driver gets a row for
-each node and dimension. The tree is one column expression over the points, which are written once.
+still weighs too much is refined further. The driver holds bins, at most 4096 for each node and dimension, never rows.
+The tree is one column expression over the points, which are written once.
 
 Defined results: a null text has size 16 and a null checksum, a null language or count of characters has a place of its own;
 repeated rows each get a slot; an empty table gives an empty result; very long texts weigh what they weigh (a shard
@@ -100,14 +100,17 @@ def _weight() -> list[Column]:
     return [F.sum("size").alias("bytes"), (F.min("kd_text") == F.max("kd_text")).alias("one")]
 
 
-def _reached(histogram: DataFrame, by: list[str], at: str, goal: Column) -> DataFrame:
-    """For each ``by``: least and greatest bin and, where the bytes reach ``goal``, (bin, bytes below it, its bytes, whether
-    it holds equal texts only)."""
-    own = Window.partitionBy(*by)
-    upto = own.orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    table = histogram.withColumn("cum", F.sum("bytes").over(upto)).withColumn("all", F.sum("bytes").over(own))
-    hit = F.min(F.when(F.col("cum") >= goal, F.struct(F.col(at).alias("bin"), (F.col("cum") - F.col("bytes")).alias("below"), "bytes", "one"))).alias("hit")
-    return table.groupBy(*by).agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max("all").alias("all"), hit)
+def _reached(bins: list[tuple], goal: float):
+    """Of (bin, bytes, whether it holds equal texts only), in any order: the bin in which the cumulated bytes reach
+    ``goal``, the bytes below it, its bytes and whether it is one group."""
+    below = 0
+    for b, weight, one in sorted(bins):
+        if below + weight >= goal:
+            break
+        below += weight
+    else:  # a goal beyond the last bin by a rounding error
+        below -= weight
+    return b, below, weight, one
 
 
 @dataclass
@@ -144,19 +147,21 @@ class _Search:
         return True
 
 
-def _refine(at: DataFrame, seeking: list[_Search], digits: int):
-    """One row for each search: where the next digit's cumulated bytes reach its goal."""
+def _refine(at: DataFrame, seeking: list[_Search], digits: int) -> dict[int, list]:
+    """The bins of the next digit of each search: at most 4096 for a node."""
     text = TEXT_BITS // DIGIT
-    state = [(s.node.name, DIMENSIONS.index(s.node.dimension) + 1, s.value, s.text, s.id, f"{s.goal!r}D") for s in seeking]
-    to = _small(at.sparkSession, state, "node int, dim int, q1 long, q2 long, q3 long, goal double")
+    state = [(s.node.name, DIMENSIONS.index(s.node.dimension) + 1, s.value, s.text, s.id) for s in seeking]
+    to = _small(at.sparkSession, state, "node int, dim int, q1 long, q2 long, q3 long")
     t, i = min(digits - 1, text) * DIGIT, max(digits - 1 - text, 0) * DIGIT
     same = F.element_at(F.array(*DIMENSIONS), F.col("dim")) == F.col("q1")
     same &= F.shiftright("kd_text", TEXT_BITS - t) == F.shiftright("q2", TEXT_BITS - t)
     same &= F.shiftright("kd_id", ID_BITS - i) == F.shiftright("q3", ID_BITS - i)
     column, left = (F.col("kd_text"), TEXT_BITS - t - DIGIT) if digits <= text else (F.col("kd_id"), ID_BITS - i - DIGIT)
     digit = F.shiftright(column, left).bitwiseAND((1 << DIGIT) - 1).alias("bin")
-    rows = at.join(to, "node").where(same).groupBy("node", "goal", digit).agg(*_weight())
-    return {r["node"]: r["hit"] for r in _reached(rows, ["node", "goal"], "bin", F.col("goal")).collect()}
+    out: dict[int, list] = {}
+    for r in at.join(to, "node").where(same).groupBy("node", digit).agg(*_weight()).collect():
+        out.setdefault(r["node"], []).append((r["bin"], r["bytes"], r["one"]))
+    return out
 
 
 def grow(table: DataFrame, shards: int = SHARDS) -> Node:
@@ -169,24 +174,24 @@ def grow(table: DataFrame, shards: int = SHARDS) -> Node:
         at = table.withColumn("node", place(root, lambda n: n.name)).where(F.col("node").isin([n.name for n in open_]))
         value = F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.col(d).alias("bin")) for k, d in enumerate(DIMENSIONS)]))
         bins = at.select("node", "size", "kd_text", value.alias("v")).groupBy("node", "v.dim", "v.bin").agg(*_weight())
-        # shares of what is really here, so that errors above don't pile up in the last leaf
-        share = F.create_map(*[F.lit(x) for n in open_ for x in (n.name, (n.count // 2) / n.count)])[F.col("node")]
-        found: dict[int, list] = {}
-        for r in _reached(bins, ["node", "dim"], "bin", F.col("all") * share).collect():
-            found.setdefault(r["node"], []).append(r)
+        found: dict[int, dict[int, list]] = {}
+        for r in bins.collect():
+            found.setdefault(r["node"], {}).setdefault(r["dim"], []).append((r["bin"], r["bytes"], r["one"]))
         seeking = []
         for n in open_:
             if n.name in found:
-                widest = max(found[n.name], key=lambda r: (r["hi"] - r["lo"], -r["dim"]))
-                n.dimension = DIMENSIONS[widest["dim"]]
-                s = _Search(n, 0, widest["all"] * ((n.count // 2) / n.count))
-                if not s.settle(0, *widest["hit"], target):
+                own = found[n.name]
+                widest = max(own, key=lambda d: (max(own[d])[0] - min(own[d])[0], -d))
+                n.dimension = DIMENSIONS[widest]
+                # a share of what is really here, so that errors above don't pile up in the last leaf
+                s = _Search(n, 0, sum(b[1] for b in own[widest]) * (n.count // 2) / n.count)
+                if not s.settle(0, *_reached(own[widest], s.goal), target):
                     seeking.append(s)
         split, digits = [n for n in open_ if n.dimension], 0
         while seeking:
             digits += 1
             hits = _refine(at, seeking, digits)
-            seeking = [s for s in seeking if not s.settle(digits, *hits[s.node.name], target)]
+            seeking = [s for s in seeking if not s.settle(digits, *_reached(hits[s.node.name], s.goal), target)]
         open_ = []
         for n in split:
             half = n.count // 2
