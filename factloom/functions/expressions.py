@@ -2,7 +2,8 @@
 
 An expression is a nested list: ``["state", "a.b"]``, ``["if", c, x, y]``, ``["and", …]``, ``["or", …]``, ``["not", x]``
 and the comparisons; anything else is a literal. Kinds are checked when the column is built; only what depends on a
-row's values fails at run time, and only in the branch that the row takes.
+row's values fails at run time, and only in the branch that the row takes. Equality is strict about kinds (1 isn't 1.0),
+order compares any two numbers as doubles.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ class ExpressionError(ValueError):
 
 
 def _kind(t: T.DataType) -> str:
-    return "bool" if isinstance(t, T.BooleanType) else "text" if isinstance(t, T.StringType) else "number" if isinstance(t, T.NumericType) else t.simpleString()
+    whole = isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0)
+    return "bool" if isinstance(t, T.BooleanType) else "text" if isinstance(t, T.StringType) else "int" if whole else "float" if isinstance(t, T.NumericType) else t.simpleString()
 
 
 def _type_at(schema: T.StructType, path: str) -> T.DataType:
@@ -42,23 +44,29 @@ def _at(path: str) -> Column:
     return out
 
 
-def compile_expression(e, schema: T.StructType) -> tuple[Column, str]:
-    """The column of an expression over rows of ``schema``, and its kind."""
+def compile_expression(e, schema: T.StructType, strict: bool = True) -> tuple[Column, str]:
+    """The column of an expression over rows of ``schema``, and its kind.
+
+    ``strict``: a value that isn't there fails the job; otherwise the result is null for the row.
+    """
     if not isinstance(e, list) or not e or not isinstance(e[0], str):
-        kind = "bool" if isinstance(e, bool) else "text" if isinstance(e, str) else "number" if isinstance(e, (int, float)) else "nil"
+        kind = "bool" if isinstance(e, bool) else "text" if isinstance(e, str) else "int" if isinstance(e, int) else "float" if isinstance(e, float) else "nil"
         return F.lit(e), kind
     op, args = e[0], e[1:]
     if op == "state":
         kind = _kind(_type_at(schema, args[0]))
         value = _at(args[0])
+        if not strict:
+            return value, kind
         return F.when(value.isNull(), F.raise_error(F.lit(f"missing path {args[0]}"))).otherwise(value), kind
-    parts = [compile_expression(a, schema) for a in args]
+    parts = [compile_expression(a, schema, strict) for a in args]
     if op == "if":
         if parts[0][1] != "bool" or len(parts) != 3:
             raise ExpressionError("if takes a bool and two branches")
         if parts[1][1] != parts[2][1]:
             raise ExpressionError("branches of different kinds have no common column")
-        return F.when(parts[0][0], parts[1][0]).otherwise(parts[2][0]), parts[1][1]
+        known = F.when(parts[0][0].isNull(), F.lit(None)) if not strict else F
+        return known.when(parts[0][0], parts[1][0]).otherwise(parts[2][0]), parts[1][1]
     if op in ("and", "or", "not"):
         if not parts or any(k != "bool" for _, k in parts) or (op == "not" and len(parts) != 1):
             raise ExpressionError(f"{op} takes bools")
@@ -66,18 +74,21 @@ def compile_expression(e, schema: T.StructType) -> tuple[Column, str]:
             return ~parts[0][0], "bool"
         out = parts[-1][0]
         for c, _ in reversed(parts[:-1]):  # nested, so that a later operand isn't evaluated when an earlier one decides
-            out = F.when(c, out).otherwise(F.lit(False)) if op == "and" else F.when(c, F.lit(True)).otherwise(out)
+            known = F.when(c.isNull(), F.lit(None).cast("boolean")) if not strict else F
+            out = known.when(c, out).otherwise(F.lit(False)) if op == "and" else known.when(c, F.lit(True)).otherwise(out)
         return out, "bool"
     if op in ("==", "!="):
         (a, ka), (b, kb) = parts
-        same = a.eqNullSafe(b) if ka == kb else F.lit(False)
+        same = F.lit(False) if ka != kb else a.eqNullSafe(b) if strict else a == b
         return (same if op == "==" else ~same), "bool"
     if op in ("<", "<=", ">", ">="):
         (a, ka), (b, kb) = parts
-        if ka != kb or ka not in ("number", "text", "bool"):
+        numbers = {ka, kb} <= {"int", "float"}
+        if not numbers and (ka != kb or ka not in ("text", "bool")):
             raise ExpressionError(f"{op} of {ka} and {kb}")
-        if ka == "number":
-            nan = lambda c: F.when(F.isnan(c), F.raise_error(F.lit("NaN in a comparison")).cast("double")).otherwise(c)
+        if numbers:
+            wrong = F.raise_error(F.lit("NaN in a comparison")).cast("double") if strict else F.lit(None).cast("double")
+            nan = lambda c: F.when(F.isnan(c), wrong).otherwise(c)
             a, b = nan(a.cast("double")), nan(b.cast("double"))
         return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op], "bool"
     raise ExpressionError(f"unknown operator {op}")
@@ -90,10 +101,21 @@ def get_item(vector: Column, index: Column) -> Column:
     return F.when(inside, F.element_at(vector, at)).otherwise(F.raise_error(F.lit("index out of range")))
 
 
+def get_key(m: Column, key: Column) -> Column:
+    """The value of a key; a missing one is an error, a null value isn't."""
+    return F.when(F.map_contains_key(m, key), F.element_at(m, key)).otherwise(F.raise_error(F.lit("key not found in map")))
+
+
 def merge(*maps: Column) -> Column:
-    """Later values win and keep the first place of their key."""
+    """Later values win, null ones too, and keep the first place of their key; with a null map the result is null."""
     keys = F.array_distinct(F.concat(*[F.map_keys(m) for m in maps]))
-    latest = lambda k: F.coalesce(*[F.element_at(m, k) for m in reversed(maps)])
+
+    def latest(k):
+        out = F.element_at(maps[0], k)
+        for m in maps[1:]:
+            out = F.when(F.map_contains_key(m, k), F.element_at(m, k)).otherwise(out)
+        return out
+
     return F.map_from_arrays(keys, F.transform(keys, latest))
 
 

@@ -143,7 +143,7 @@ def analyse(p: Program) -> Program:
         raise RulesError(STATE, "limits")
     arity: dict[str, int] = {}
     for f in [*p.facts, *(h for h, _ in p.rules), *(b for _, body in p.rules for b in body if b[0] not in BUILTINS), p.query]:
-        if str(f[0]).startswith("not"):
+        if str(f[0]) == "not" or str(f[0]).startswith("not("):
             raise RulesError(FORBIDDEN, "negation")
         if arity.setdefault(f[0], len(f)) != len(f):
             raise RulesError(TYPE, f"arity of {f[0]}")
@@ -179,30 +179,44 @@ def analyse(p: Program) -> Program:
 
 
 def _kind(t):
-    return "bool" if isinstance(t, bool) else "number" if isinstance(t, (int, float)) else "text"
+    """Kinds never equal one another: an atom isn't the string of the same text."""
+    return "bool" if isinstance(t, bool) else "number" if isinstance(t, (int, float)) else "atom" if isinstance(t, Atom) else "text"
 
 
-def _literal_relation(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+@dataclass
+class Relation:
+    """A predicate's rows (a0, a1, …) and the kind of each column."""
+
+    rows: DataFrame
+    kinds: list[str]
+
+    @classmethod
+    def of(cls, df: DataFrame) -> Relation:
+        kinds = ["text" if t == "string" else "bool" if t == "boolean" else "number" for _, t in df.dtypes]
+        return cls(df.toDF(*[f"a{i}" for i in range(len(kinds))]), kinds)
+
+    def union(self, other: Relation) -> Relation:
+        if self.kinds != other.kinds:
+            raise RulesError(TYPE, "a column of mixed kinds")
+        return Relation(self.rows.union(other.rows), self.kinds)
+
+
+def _literal_relation(spark: SparkSession, rows: list[tuple]) -> Relation:
     kinds = [{_kind(v) for v in c} for c in zip(*rows, strict=True)]
     if any(len(k) > 1 for k in kinds):
         raise RulesError(TYPE, "a column of mixed kinds")
-    types = ["boolean" if k == {"bool"} else "string" if k == {"text"} else "bigint" if all(isinstance(r[i], int) for r in rows) else "double" for i, k in enumerate(kinds)]
+    types = ["boolean" if k == {"bool"} else "string" if k & {"text", "atom"} else "bigint" if all(isinstance(r[i], int) for r in rows) else "double" for i, k in enumerate(kinds)]
     clean = [tuple(float(v) if t == "double" else str(v) if t == "string" else v for v, t in zip(r, types, strict=True)) for r in rows]
-    return spark.createDataFrame(clean, ", ".join(f"a{i} {t}" for i, t in enumerate(types)))
-
-
-def _family(df: DataFrame, column: str) -> str:
-    t = dict(df.dtypes)[column]
-    return "text" if t == "string" else "bool" if t == "boolean" else "number"
+    return Relation(spark.createDataFrame(clean, ", ".join(f"a{i} {t}" for i, t in enumerate(types))), [k.pop() for k in kinds])
 
 
 def _compare(op: str, left: Column, right: Column) -> Column:
     return {"=": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
 
 
-def _filter(df: DataFrame, b: tuple) -> Column:
+def _filter(kinds: dict, b: tuple) -> Column:
     op, left, right = b
-    kind = lambda t: _family(df, f"v_{t}") if isinstance(t, Var) else _kind(t)
+    kind = lambda t: kinds[t] if isinstance(t, Var) else _kind(t)
     column = lambda t: F.col(f"v_{t}") if isinstance(t, Var) else F.lit(str(t) if isinstance(t, str) else t)
     if op == "in":
         if any(_kind(x) != kind(left) for x in right):
@@ -215,62 +229,80 @@ def _filter(df: DataFrame, b: tuple) -> Column:
     return _compare(op, column(left), column(right))
 
 
-def _pattern(df: DataFrame, terms: tuple) -> DataFrame:
-    """A relation's rows that fit the terms, with a column for each variable."""
+def _pattern(relation: Relation, terms: tuple) -> tuple[DataFrame, dict]:
+    """A relation's rows that fit the terms, with a column for each variable, and the variables' kinds."""
     seen: dict = {}
+    df, fits = relation.rows, True
     for i, t in enumerate(terms):
         if isinstance(t, Var):
             if t in seen:
-                df = df.where(F.col(f"a{i}") == F.col(f"a{seen[t]}"))
+                fits &= relation.kinds[i] == relation.kinds[seen[t]]
+                df = df.where(F.col(f"a{i}") == F.col(f"a{seen[t]}")) if fits else df
             seen.setdefault(t, i)
+        elif relation.kinds[i] != _kind(t):
+            fits = False
         else:
-            if _family(df, f"a{i}") != _kind(t):
-                return df.select(*[F.col(f"a{j}").alias(f"v_{v}") for v, j in seen.items()]).where(F.lit(False))
             df = df.where(F.col(f"a{i}") == F.lit(str(t) if isinstance(t, str) else t))
-    return df.select(*[F.col(f"a{j}").alias(f"v_{v}") for v, j in seen.items()] or [F.lit(True).alias("v_")])
+    df = df if fits else df.where(F.lit(False))
+    return df.select(*[F.col(f"a{j}").alias(f"v_{v}") for v, j in seen.items()] or [F.lit(True).alias("v_")]), {v: relation.kinds[j] for v, j in seen.items()}
 
 
-def derive(spark: SparkSession, program: Program, relations: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Every predicate's relation, stored and derived rows together."""
-    known = {k: df.toDF(*[f"a{i}" for i in range(len(df.columns))]) for k, df in (relations or {}).items()}
+def _body(spark: SparkSession, known: dict[str, Relation], body: list) -> tuple[DataFrame | None, dict]:
+    """Bindings of a rule's body, None where a predicate has no facts at all."""
+    rows, kinds = None, {}
+    for b in body:
+        if b[0] in BUILTINS:
+            rows = spark.range(1).select(F.lit(True).alias("v_")) if rows is None else rows  # over literals only
+            rows = rows.where(_filter(kinds, b))
+            continue
+        if b[0] not in known:
+            return None, {}
+        new, own = _pattern(known[b[0]], b[1:])
+        if any(kinds.get(v, k) != k for v, k in own.items()):
+            new = new.select(*[F.col(f"v_{v}") for v in own if kinds.get(v, own[v]) == own[v]] or [F.lit(True).alias("v_")]).where(F.lit(False))
+        kinds = {**own, **kinds}
+        if rows is None:
+            rows = new
+            continue
+        shared = [c for c in new.columns if c in rows.columns]
+        rows = rows.join(new, shared, "inner") if shared else rows.crossJoin(new)
+    return rows, kinds
+
+
+def _relations(spark: SparkSession, program: Program, relations: dict[str, DataFrame] | None = None) -> dict[str, Relation]:
+    known = {k: Relation.of(df) for k, df in (relations or {}).items()}
     for name in dict.fromkeys(f[0] for f in program.facts):
         own = _literal_relation(spark, [tuple(f[1:]) for f in program.facts if f[0] == name])
-        known[name] = known[name].union(own).distinct() if name in known else own.distinct()
+        known[name] = known[name].union(own) if name in known else own
+        known[name].rows = known[name].rows.distinct()
     for head in dict.fromkeys(h[0] for h, _ in program.rules):
-        parts = []
+        parts = [known[head]] if head in known else []
         for h, body in program.rules:
             if h[0] != head:
                 continue
-            rows = None
-            for b in body:
-                if b[0] in BUILTINS:
-                    rows = rows.where(_filter(rows, b))
-                    continue
-                if b[0] not in known:  # no such facts: the rule derives nothing
-                    rows = None
-                    break
-                new = _pattern(known[b[0]], b[1:])
-                if rows is None:
-                    rows = new
-                    continue
-                shared = [c for c in new.columns if c in rows.columns]
-                rows = rows.join(new, shared, "inner") if shared else rows.crossJoin(new)
+            rows, kinds = _body(spark, known, body)
             if rows is not None:
-                parts.append(rows.select(*[(F.col(f"v_{t}") if isinstance(t, Var) else F.lit(str(t) if isinstance(t, str) else t)).alias(f"a{i}") for i, t in enumerate(h[1:])]))
+                terms = [(F.col(f"v_{t}") if isinstance(t, Var) else F.lit(str(t) if isinstance(t, str) else t)).alias(f"a{i}") for i, t in enumerate(h[1:])]
+                parts.append(Relation(rows.select(*terms), [kinds[t] if isinstance(t, Var) else _kind(t) for t in h[1:]]))
         if parts:
-            stored = [known[head]] if head in known else []
-            known[head] = reduce(DataFrame.union, [*stored, *parts]).distinct()
+            known[head] = reduce(Relation.union, parts)
+            known[head].rows = known[head].rows.distinct()
     return known
 
 
+def derive(spark: SparkSession, program: Program, relations: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Every predicate's relation, stored and derived rows together."""
+    return {name: r.rows for name, r in _relations(spark, program, relations).items()}
+
+
 def solve(spark: SparkSession, program: Program, relations: dict[str, DataFrame] | None = None) -> str:
     """The route that the program's query chooses: the first in canonical order, under its policies."""
     if len(program.query) != 2:
         raise RulesError(TYPE, "the query takes one term")
-    known = derive(spark, program, relations)
+    known = _relations(spark, program, relations)
     first, several = None, False
     if program.query[0] in known:
-        rows = _pattern(known[program.query[0]], program.query[1:])
+        rows, _ = _pattern(known[program.query[0]], program.query[1:])
         route = F.col(rows.columns[0])
         first, several = rows.agg(F.min_by(route, route.cast("string")), F.count_distinct(route) > 1).first()
     if first is None:
