@@ -2,8 +2,9 @@
 
 A value is a pair ``(kind, body)``. Bodies: None, bool, int, float, str, bytes; names are ``ns/name`` text; vectors and
 sets are lists, maps are lists of pairs, a tagged value is ``(tag, value)``, an annotated one ``(pairs, value)``.
-Text is data only: ``let``, functions and imports are no part of it. Columns give null for null or malformed input;
-``strict=True`` raises instead.
+Text is data only here: ``let``, functions and imports are read by ``factloom.functions.language``. Columns give null for
+null or malformed input; ``strict=True`` raises instead. Texts that differ in their literals only share a shape, which is
+read once: its key order and what doesn't change are worked out for all of them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,12 @@ class ValueFormatError(ValueError):
 # ------------------------------------------------------------------------------------------------ text
 
 
+_PLAIN = re.compile(r"[^\n\r\t\\\"$]*")
+
+
 def _quoted(s: str, canonical: bool) -> str:
+    if _PLAIN.fullmatch(s):
+        return f'"{s}"'
     back = {v: "\\" + k for k, v in ESCAPES.items() if canonical or k != "$"}
     return '"' + "".join(back.get(c, c) for c in s) + '"'
 
@@ -62,6 +68,10 @@ def _constructor(tag: str) -> str | None:
 def to_text(value, canonical: bool = False) -> str:
     """Display text, or canonical text: members and keys in the order of their own text, ``.0`` on whole doubles."""
     kind, body = value
+    if kind == "string":
+        return _quoted(body, canonical)
+    if kind == "int":
+        return str(body)
     text = lambda v: to_text(v, canonical)
     key = lambda k: _keyword(k[1], "") if k[0] == "keyword" else text(k)
     order = (lambda xs, of: sorted(xs, key=lambda x: text(of(x)).encode())) if canonical else (lambda xs, of: xs)
@@ -76,8 +86,6 @@ def to_text(value, canonical: bool = False) -> str:
     if kind == "f64":
         out = _decimal(kind, body)
         return out + ".0" if canonical and "." not in out else out
-    if kind == "string":
-        return _quoted(body, canonical)
     if kind == "bytes":
         return f"0x[{body.hex()}]"
     if kind == "symbol":
@@ -87,7 +95,8 @@ def to_text(value, canonical: bool = False) -> str:
     if kind == "vector":
         return f"[{', '.join(map(text, body))}]"
     if kind == "set":
-        return f"Set([{', '.join(map(text, order(body, lambda x: x)))}])"
+        members = list(map(text, body))
+        return f"Set([{', '.join(sorted(members, key=str.encode) if canonical else members)}])"
     if kind == "map":
         return f"({', '.join(f'{key(k)}={text(v)}' for k, v in order(body, lambda p: p[0]))})"
     if kind == "tagged":
@@ -162,6 +171,11 @@ class _Reader:
         self.at += 1
         return out
 
+    def entry_follows(self) -> bool:
+        """Whether the parenthesis ahead begins with a key and its sign, as in ``User(id = 1)``."""
+        ahead = self.tokens[self.at + 1 : self.at + 3]
+        return len(ahead) == 2 and ahead[0][0] in ("word", "keyword", "text") and ahead[1][1] == "="
+
     def pair(self):
         ahead = self.tokens[self.at + 1 : self.at + 2]
         if self.peek()[0] == "word" and ahead and ahead[0][1] == "=":
@@ -200,6 +214,9 @@ class _Reader:
                 raise ValueFormatError("repeated map key")
             return "map", pairs
         if group == "word":
+            if text[0].isupper() and self.peek()[1] == "(" and self.entry_follows():
+                self.at += 1
+                return "tagged", (_tag_of(text), ("map", self.items(")", self.pair)))
             if text in ("nil", "true", "false"):
                 return NIL if text == "nil" else ("bool", text == "true")
             if text == "_":
@@ -260,6 +277,11 @@ def _construct(name: str, args: list):
 
 
 def parse(text: str):
+    shape, literals = _shaped(text)
+    return shape.build(literals) if shape else read(text)
+
+
+def read(text: str):
     reader = _Reader(text)
     out = reader.value()
     if reader.peek()[0] != "end":
@@ -267,6 +289,115 @@ def parse(text: str):
     return out
 
 
+# ------------------------------------------------------------------------------------------------ shapes
+
+_LITERAL = re.compile(r"\"((?:[^\"\\$]|\\.)*)\"|(?<![\w:'@?*+!<>/.-])([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?[Nuf]?)(?!\w)", re.S)
+#: Shapes that a worker remembers.
+SHAPES = 512
+_shapes: dict = {}
+
+
+class _Shape:
+    """Functions from a text's literals, in order, to its value, its canonical value and its canonical text."""
+
+    def __init__(self, tree, count: int):
+        self.found: list[int] = []
+        self.build, self.canonical, self.text = self._node(tree)
+        if self.found != list(range(count)):
+            raise ValueFormatError("a literal that is no value of its own")
+
+    def _slot(self, value) -> int | None:
+        if value[0] == "bigint":
+            return value[1]
+        return int(value[1][1:]) if value[0] == "string" else None
+
+    def _node(self, value):
+        at = self._slot(value)
+        if at is not None:
+            self.found.append(at)
+            one = lambda x: x[at]
+            return one, one, lambda x: to_text(x[at], True)
+        kind, body = value
+        before = len(self.found)
+        if kind in ("vector", "set"):
+            parts = [self._node(v) for v in body]
+        elif kind == "map":
+            if any(self._slot(k) is not None for k, _ in body):
+                raise ValueFormatError("a key that is a literal")
+            parts = [self._node(v) for _, v in body]
+        elif kind == "tagged":
+            parts = [self._node(body[1])]
+        elif kind == "annotated":
+            raise ValueFormatError("annotations are read each time")
+        else:
+            parts = []
+        if len(self.found) == before:  # nothing in it varies
+            fixed, text = canonical(value), to_text(value, True)
+            return lambda x: value, lambda x: fixed, lambda x: text
+        build, canon, texts = zip(*parts, strict=True)
+        if kind == "vector":
+            return lambda x: (kind, [f(x) for f in build]), lambda x: (kind, [f(x) for f in canon]), lambda x: f"[{', '.join([f(x) for f in texts])}]"
+        if kind == "set":
+            return (
+                lambda x: (kind, [f(x) for f in build]), lambda x: canonical((kind, [f(x) for f in build])),
+                lambda x: f"Set([{', '.join(sorted([f(x) for f in texts], key=str.encode))}])",
+            )
+        if kind == "tagged":
+            tag, name = body[0], _constructor(body[0])
+            if tag == "ref":
+                raise ValueFormatError("references are written each time")
+            opened = f"{name}(" if name else f'Tagged("{tag}", '
+            return lambda x: (kind, (tag, build[0](x))), lambda x: (kind, (tag, canon[0](x))), lambda x: f"{opened}{texts[0](x)})"
+        names = [k for k, _ in body]
+        shown = [_keyword(k[1], "") if k[0] == "keyword" else to_text(k, True) for k in names]
+        order = sorted(range(len(names)), key=lambda i: to_text(names[i], True).encode())
+        pairs, sorted_pairs = list(zip(names, build, strict=True)), [(names[i], canon[i]) for i in order]
+        written = [(shown[i] + "=", texts[i]) for i in order]
+        return (
+            lambda x: (kind, [(k, f(x)) for k, f in pairs]), lambda x: (kind, [(k, f(x)) for k, f in sorted_pairs]),
+            lambda x: f"({', '.join([k + f(x) for k, f in written])})",
+        )
+
+
+def _shaped(text: str) -> tuple[_Shape | None, list]:
+    """The text's shape and literals; no shape for texts that have to be read one by one."""
+    parts = _LITERAL.split(text)
+    fixed, strings, numbers = parts[::3], parts[1::3], parts[2::3]
+    key = ("\0".join(fixed), "".join(["n" if s is None else "s" for s in strings]))
+    shape = _shapes.get(key)
+    if shape is None and key not in _shapes:
+        if len(_shapes) >= SHAPES:
+            _shapes.clear()
+        _shapes[key] = shape = _learn(fixed, strings)
+    if shape is None:
+        return None, []
+    try:
+        return shape, [_number(n) if s is None else ("string", _unescape(s) if "\\" in s else s) for s, n in zip(strings, numbers, strict=True)]
+    except ValueError:
+        return None, []  # the reader says what is wrong
+
+
+def _learn(fixed: list, strings: list) -> _Shape | None:
+    if any('"' in f or "#" in f or "0x[" in f or f.startswith("\n") for f in fixed[:1] + fixed[1:]):
+        return None
+    marked = fixed[0] + "".join((f"{i}N" if s is None else f'"\1{i}"') + f for i, (s, f) in enumerate(zip(strings, fixed[1:], strict=True)))
+    try:
+        return _Shape(read(marked), len(strings))
+    except ValueError:
+        return None
+
+
+def canonical_of(text: str):
+    """The canonical value of a text."""
+    shape, literals = _shaped(text)
+    return shape.canonical(literals) if shape else canonical(read(text))
+
+
+def canonical_text_of(text: str) -> str:
+    shape, literals = _shaped(text)
+    return shape.text(literals) if shape else to_text(read(text), canonical=True)
+
+
 # ------------------------------------------------------------------------------------------------ identity
 
 
@@ -520,11 +651,11 @@ def _column(returns: str, one, strict: bool):
 
 
 def canonical_text(text: Column, strict: bool = False) -> Column:
-    return _column("string", lambda t: to_text(parse(t), canonical=True), strict)(text)
+    return _column("string", canonical_text_of, strict)(text)
 
 
 def encode_canonical(text: Column, digest: bool = False, strict: bool = False) -> Column:
-    return _column("binary", lambda t: encode(canonical(parse(t)), digest), strict)(text)
+    return _column("binary", lambda t: encode(canonical_of(t), digest), strict)(text)
 
 
 def decode_text(message: Column, strict: bool = False) -> Column:
