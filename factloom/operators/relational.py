@@ -187,6 +187,48 @@ def match_capabilities(alternatives: DataFrame, environment: DataFrame, constrai
     )
 
 
+def verdicts(matches: DataFrame, request: str, absence: Column) -> DataFrame:
+    """Each request's status over its requirements: accepted, accepted_with_soft_gaps, or what ``absence`` says.
+
+    Matches: the request, requirement_id, optional, and chosen and code of ``match_capabilities``. ``absence`` (suspend or
+    reject, a column of the request) counts where a required one is unmet. The primary failure is that of the first
+    unmet required one.
+    """
+    unmet = F.col("chosen").isNull()
+    hard = unmet & ~F.col("optional")
+    per = matches.withColumn("absence", absence).groupBy(request).agg(
+        F.count_if(hard).alias("unmet_required"), F.count_if(unmet & F.col("optional")).alias("unmet_optional"),
+        F.min(F.when(hard, F.struct("requirement_id", "code"))).alias("first"), F.min("absence").alias("absence"),
+    )
+    status = F.when((F.col("unmet_required") == 0) & (F.col("unmet_optional") == 0), "accepted").when(F.col("unmet_required") == 0, "accepted_with_soft_gaps").otherwise(F.col("absence"))
+    return per.select(request, status.alias("status"), "unmet_required", "unmet_optional", F.col("first.code").alias("primary_failure"))
+
+
+def constraint_kind(field: str, example) -> str:
+    """The kind of a constraint, by its name before its value."""
+    if field.endswith("allowlist") or field.endswith("allow/list"):
+        return "set"
+    if field.startswith(("max_", "max/")):
+        return "max"
+    if field.startswith(("allow_", "allow/")):
+        return "flag"
+    return "flag" if isinstance(example, bool) else "max" if isinstance(example, int) else "set" if isinstance(example, (list, set, tuple)) else "raw"
+
+
+def disjoint(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b)) == 0
+
+
+def mentions(text: Column, part: str) -> Column:
+    """Whether a text holds a part, in any case."""
+    return F.contains(F.lower(text), F.lit(part.lower()))
+
+
+def newest(df: DataFrame, group: str, time: str, name: str) -> DataFrame:
+    """The latest row of each group (ties: the greater name) and how many there are; one aggregation."""
+    return df.groupBy(group).agg(F.max(F.struct(time, name)).alias("b"), F.count("*").alias("n")).select(group, f"b.{time}", f"b.{name}", "n")
+
+
 # ---------------------------------------------------------------------------------------------- digests
 
 

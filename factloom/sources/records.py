@@ -66,24 +66,45 @@ class FrameDecoder:
             raise ValueError("FRAMING_TRUNCATED_HEADER" if len(self.held) < 4 else "FRAMING_TRUNCATED_PAYLOAD")
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of each file: path, frame (from 1), length, sha256, error."""
-    import pandas as pd
+def frame(payload: Column) -> Column:
+    """A payload with its length before it; an empty one, or one beyond the limit, fails the job."""
+    size = F.octet_length(payload)
+    parts = [F.lpad(F.hex(F.shiftright(size, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]
+    wrong = F.when(size == 0, F.raise_error(F.lit("FRAMING_LENGTH_ZERO"))).when(size > FRAME_LIMIT, F.raise_error(F.lit("FRAMING_TOO_LARGE")))
+    return F.coalesce(wrong.cast("binary"), F.concat(F.unhex(F.concat(*parts)), payload))
+
+
+def decode_frames(df: DataFrame, column: str) -> DataFrame:
+    """Replaces a column of whole streams by their frames: frame (from 1), length, sha256, and error where one breaks off."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    names = [c for c in df.columns if c not in (column, "frame", "length", "sha256", "error")]
+    new = T._parse_datatype_string("frame long, length long, sha256 string, error string").fields
 
     def run(batches):
         for batch in batches:
-            out = []
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            at, out = [], []
+            for k, content in enumerate(batch.column(len(names)).to_pylist()):
                 d, error = FrameDecoder(), None
                 try:
-                    for i, payload in d.push(content):
-                        out.append((name, i, len(payload), hashlib.sha256(payload).hexdigest(), None))
+                    for i, payload in d.push(content or b""):
+                        at.append(k)
+                        out.append((i, len(payload), hashlib.sha256(payload).hexdigest(), None))
                     d.end()
                 except ValueError as e:
                     error = str(e)
                 if error:
-                    out.append((name, d.count + 1, None, None, error))
-            yield pd.DataFrame(out, columns=["path", "frame", "length", "sha256", "error"]).astype({"length": "Int64"})
+                    at.append(k)
+                    out.append((d.count + 1, None, None, error))
+            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(names)]]
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=[*names, *(f.name for f in new)])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, frame long, length long, sha256 string, error string")
+    return df.select(*names, column).mapInArrow(run, T.StructType([*[df.schema[c] for c in names], *new]))
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of each file: path, frame (from 1), length, sha256, error. A file is one row, so it can hold 2 GB at most."""
+    return decode_frames(spark.read.format("binaryFile").load(path).select("path", "content"), "content")
