@@ -233,7 +233,7 @@ def _annotate(pairs, value):
 
 
 def _unescape(s: str) -> str:
-    if re.search(r"(?<!\\)(?:\\\\)*\$", s):
+    if re.search(r"(?<!\\)(?:\\\\)*\$[A-Za-z_(]", s):
         raise ValueFormatError("interpolation is no data")
 
     def one(m):
