@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from factloom.functions import expressions as X
@@ -211,6 +212,65 @@ def signed_thresholds(spark, sf):
     return E.verify_signed(s, accepted, policy, lambda key, alg, domain, digest, sig: sig == sign(key, digest))
 
 
+@register("signed_values", """
+SELECT c_custkey AS value_id, CASE c_custkey % 6 WHEN 0 THEN 'untrusted key_id' WHEN 1 THEN 'duplicate key_id' WHEN 2 THEN 'payload digest mismatch' WHEN 3 THEN 'signed: missing payload' END AS error FROM customer""")
+def signed_values(spark, sf):
+    """Signed values and manifests as nested values: payload digests, key and threshold checks, unreadable ones named."""
+    import hashlib
+
+    def signature(key, digest):
+        sig = hashlib.sha256((key + digest).encode()).hexdigest()
+        return f'Signature((Keyword("key_id")="{key}", alg=:ed25519, scope=Keyword("orders_v1"), Keyword("payload_digest")=Digest((alg=:sha256, hex="{digest}")), sig=0x[{sig}]))'
+
+    @F.pandas_udf("string")
+    def made(keys: pd.Series) -> pd.Series:
+        def one(k):
+            digest = lambda text: hashlib.sha256(V.encode(V.canonical(V.parse(text)))).hexdigest()
+            if k % 6 == 4:
+                body = f'format=Keyword("manifest_v1"), root=1, objects=[{k}], policy=()'
+                own = digest(f"Manifest(({body}))")
+                return f"Manifest(({body}, signatures=[{signature('k0', own)}, {signature('k1', own)}]))"
+            payload = f'(id={k}, name="x")'
+            own = digest(payload if k % 6 != 2 else "(id=0)")
+            keys = {0: ("k9", "k1"), 1: ("k0", "k0")}.get(k % 6, ("k0", "k1"))
+            head = "" if k % 6 == 3 else f"payload={payload}, "
+            return f"Signed(({head}signatures=[{', '.join(signature(x, own) for x in keys)}]))"
+
+        return pd.Series([one(k) for k in keys])
+
+    c = spread(table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"))).select("custkey", made("custkey").alias("text"))
+    signatures, accepted, unreadable = E.read_signed(c, "custkey", "text")
+    policy = E.Policy("orders:v1", ["k0", "k1"], ["ed25519"], threshold=2)
+    done = E.verify_signed(signatures, accepted, policy, lambda key, alg, domain, digest, sig: F.lower(F.hex(sig)) == F.sha2(F.concat(key, digest), 256))
+    return done.select("value_id", "error").union(unreadable)
+
+
+@register("receipt_signatures", "SELECT n_nationkey AS nationkey, n_nationkey % 3 > 0 AS signature_valid FROM nation")
+def receipt_signatures(spark, sf):
+    """Ed25519 over a domain and the signing body; a third of the bodies were changed."""
+    from factloom.functions import ed25519
+
+    key, _ = ed25519.sign(b"\1" * 32, b"")
+
+    @F.pandas_udf("binary")
+    def signed(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: ed25519.sign(b"\1" * 32, b"receipt:v0\0" + n.encode())[1])
+
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name", F.lit(bytearray(key)).alias("key"), signed("n_name").alias("sig"))
+    n = n.withColumn("body", F.when(F.col("nationkey") % 3 == 0, F.concat("n_name", F.lit("x"))).otherwise(F.col("n_name")).cast("binary"))
+    return E.verify_receipts(n, "body", "key", "sig", "receipt:v0").select("nationkey", "signature_valid")
+
+
+@register("signing_tokens", "SELECT c_custkey AS custkey, c_custkey % 4 <> 0 AS holds, CASE WHEN c_custkey % 4 <> 0 THEN 'run-' || c_custkey END AS run_id FROM customer")
+def signing_tokens(spark, sf):
+    """Tokens issued and checked in the JVM; those that were changed don't hold."""
+    run, digest = F.concat(F.lit("run-"), "c_custkey"), F.concat(F.lit("sha256:"), F.sha2("c_name", 256))
+    token = E.signing_token(run, F.lit("owner"), digest, F.substring(F.sha2("c_mktsegment", 256), 1, 24), b"secret")
+    changed = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("A"), F.substring(token, F.lit(2), F.length(token)))).otherwise(token)
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey"), E.check_token(changed, b"secret").alias("t"))
+    return c.select("custkey", F.col("t").isNotNull().alias("holds"), F.col("t.run_id").alias("run_id"))
+
+
 # ------------------------------------------------------------------------------------------------ identities and ledgers
 
 

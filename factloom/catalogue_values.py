@@ -12,6 +12,7 @@ from factloom.functions import access as A
 from factloom.functions import language as L
 from factloom.functions import values as V
 from factloom.functions.blake3 import blake3
+from factloom.functions.formatting import formatted_columns, lint
 from factloom.functions.schema import Schema, of_struct, rows, texts, typed, variant
 from factloom.query_registry import register, spread, table
 from factloom.sources import records
@@ -170,6 +171,23 @@ def constructor_checks(spark, sf):
     return L.evaluated(spread(e.select("event_id", text.alias("program"))), "program").select("event_id", F.col("error").isNull().alias("accepted"))
 
 
+@register("program_layout", """
+SELECT c_custkey AS custkey, CASE c_custkey % 5 WHEN 0 THEN 'let {b=' || c_custkey || '; a=1} concat(a, b)' WHEN 1 THEN '(a=[1, ' || c_custkey || '], b="' || c_name || '")' WHEN 2 THEN 'let f=fn(x) => [x, x] f(' || c_custkey || ')'
+  WHEN 3 THEN '(new=@new(:uuid), own=' || c_custkey || ')' END AS formatted, CASE c_custkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 1 WHEN 2 THEN 5 END AS differs_at, c_custkey % 5 = 4 AS refused FROM customer""")
+def program_layout(spark, sf):
+    """Programs in canonical layout, unevaluated; where the given text departs from it."""
+    forms = ("let { b = %k, a=1 } concat(a,b)", '(b="%n", a=[1,%k])', "let f = fn(x)=>[x,x] f(%k)", "(new=@new(:uuid), own=%k)", "(a=1, a=%k)")
+    return formatted_columns(_programs(spark, sf, *forms), "program").select("custkey", "formatted", "differs_at", F.col("error").isNotNull().alias("refused"))
+
+
+@register("value_lints", """
+SELECT c_custkey AS custkey, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'EXPR_INVALID_ARITY' WHEN 2 THEN 'EXPR_INVALID_OP' WHEN 3 THEN 'EXPR_FORBIDDEN_TYPE' WHEN 4 THEN 'PATH_INVALID_SHAPE'
+  WHEN 5 THEN 'PATH_INVALID_SEGMENT' ELSE 'ENVELOPE_KEY_SHOULD_BE_STRING,ENVELOPE_KEY_SHOULD_BE_STRING' END AS codes FROM customer""")
+def value_lints(spark, sf):
+    forms = ('[Expr([\'<, "a", %k]), Path([:a, 0, "b"]), ("kind"="x", "payload"=%k)]', "Expr(['not, true, %k])", "[Expr(['plus, 1, %k])]", "Expr(['<, 0x[00], %k])", "Path([])", "Path([:a, -%k1])", '(kind="x", payload=%k)')
+    return A.value_columns(_programs(spark, sf, *forms), "program", {"codes": (lambda v: ",".join(lint(v)), T.StringType())})
+
+
 # ------------------------------------------------------------------------------------------------ accessors
 
 
