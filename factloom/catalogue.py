@@ -303,8 +303,7 @@ def obligation_any_of(spark, sf):
 , x AS (SELECT step, unnest(string_split(codes, ',')) AS code FROM sat), d AS (SELECT DISTINCT step, code FROM x WHERE code <> '')
 SELECT step, string_agg(code, ',' ORDER BY CASE code WHEN 'PROTOCOL.untrusted_signer' THEN 1 WHEN 'PROTOCOL.signature_invalid' THEN 2 ELSE 3 END) AS codes FROM d GROUP BY step""")
 def failure_codes_ordered(spark, sf):
-    s = _obligations(spark, sf).where(F.size("codes") > 0).groupBy("step").agg(F.flatten(F.collect_set("codes")).alias("codes"))
-    return s.select("step", F.concat_ws(",", R.ordered_codes(F.col("codes"))).alias("codes"))
+    return R.collect_codes(_obligations(spark, sf), "step", "codes").withColumn("codes", F.concat_ws(",", "codes"))
 
 
 @_register("requirement_first_alternative", """

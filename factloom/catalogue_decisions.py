@@ -468,6 +468,12 @@ def newest_runs_of_filter(spark, sf):
     return R.newest(table(spark, sf, "orders").where(R.mentions(F.col("o_orderpriority"), "URGENT")), "o_custkey", "o_orderdate", "o_orderkey").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("newest"), F.col("n").alias("runs"))
 
 
+@register("find_first_run", "SELECT o_orderkey AS orderkey, o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def find_first_run(spark, sf):
+    o = table(spark, sf, "orders")
+    return R.find_first(o, (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000), ["o_orderdate", "o_orderkey"]).select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"))
+
+
 # ------------------------------------------------------------------------------------------------ plans
 
 EVALIR = {

@@ -93,16 +93,18 @@ def satisfy(obligations: DataFrame, receipts: DataFrame, trusted: list[str] | No
     Receipts: request_hash, history_index, receipt_hash, signer, signature_valid. Without trusted signers a receipt of
     the same request is acceptable as it is.
     """
-    trust = F.col("signer").isin(trusted) if trusted is not None else F.lit(True)
-    sound = (trust & F.col("signature_valid")) if trusted is not None else F.lit(True)
-    codes = F.when(~trust, F.array(F.lit("PROTOCOL.untrusted_signer"))).when(~sound, F.array(F.lit("PROTOCOL.signature_invalid"))).otherwise(F.array().cast("array<string>"))
+    known = lambda c: F.coalesce(c, F.lit(False))
+    trust = known(F.col("signer").isin(trusted)) if trusted is not None else F.lit(True)
+    sound = trust & known(F.col("signature_valid")) if trusted is not None else F.lit(True)
     first = F.min(F.when(sound, F.struct("history_index", "receipt_hash"))).alias("best")
-    per = receipts.groupBy("request_hash").agg(first, F.count("*").alias("matched"), F.array_distinct(F.flatten(F.collect_set(codes))).alias("codes"))
+    flags = [F.bool_or(~trust).alias("untrusted"), F.bool_or(trust & ~sound).alias("unsound")]
+    per = receipts.groupBy("request_hash").agg(first, F.count("*").alias("matched"), *flags)
     out = obligations.join(per, "request_hash", "left").withColumn("satisfied", F.col("best").isNotNull())
-    missing = F.when(F.col("matched").isNull(), F.array(F.lit("PROTOCOL.missing_receipt"))).otherwise(F.col("codes"))
+    tried = F.array_compact(F.array(F.when(F.col("untrusted"), F.lit("PROTOCOL.untrusted_signer")), F.when(F.col("unsound"), F.lit("PROTOCOL.signature_invalid"))))  # in their order
+    missing = F.when(F.col("matched").isNull(), F.array(F.lit("PROTOCOL.missing_receipt"))).otherwise(tried)
     return out.select(
         "step", "request_hash", "satisfied", F.col("best.receipt_hash").alias("receipt_hash"), F.coalesce("matched", F.lit(0)).alias("matched"),
-        F.when(F.col("satisfied"), F.array().cast("array<string>")).otherwise(ordered_codes(missing)).alias("codes"),
+        F.when(F.col("satisfied"), F.array().cast("array<string>")).otherwise(missing).alias("codes"),
     )
 
 
@@ -122,6 +124,24 @@ def ordered_codes(codes: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(F.transform(codes, key))), lambda s: s["c"])
 
 
+def collect_codes(df: DataFrame, group: str, codes: str) -> DataFrame:
+    """Each group's distinct codes in order, groups without any left out.
+
+    Known codes travel as bits of one number, so the aggregation combines early and holds no lists; others are collected.
+    """
+    known = [f"{n}.{leaf}" for n in NAMESPACES for leaf in LEAVES.get(n, ())]
+    table = F.create_map(*[x for i, c in enumerate(known) for x in (F.lit(c), F.lit(i))])
+    one = df.select(group, F.explode(codes).alias("code")).withColumn("bit", table[F.col("code")])
+    per = one.groupBy(group).agg(F.bit_or(F.when(F.col("bit").isNotNull(), F.expr("shiftleft(1L, bit)"))).alias("bits"), F.collect_set(F.when(F.col("bit").isNull(), F.col("code"))).alias("others"))
+    own = F.array_compact(F.array(*[F.when(F.coalesce("bits", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(known)]))
+    return per.select(group, F.when(F.size("others") == 0, own).otherwise(ordered_codes(F.concat(own, "others"))).alias("codes"))
+
+
+def find_first(df: DataFrame, condition: Column, order: list[str]) -> DataFrame:
+    """The first row that fits, in order; one row at most, found without sorting the rest."""
+    return df.where(condition).orderBy(*order).limit(1)
+
+
 # ---------------------------------------------------------------------------------------------- capabilities
 
 #: The stages of a match, in order, and the code and rank of failing at each of them.

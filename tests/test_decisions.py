@@ -178,3 +178,20 @@ def test_artifact_files(spark, tmp_path):
     assert got["a.txt"].plan == got["b.bin"].plan and got["c.txt"].codes == [evalir.STATE]
     made = json.loads(got["a.txt"].plan)
     assert evalir.validate(made) == [] and made["steps"][1]["obligations"][0]["params"]["request_hash"].startswith("sha256:") and [s["step_id"] for s in made["steps"]] == ["S0001", "S0002", "S0003"]
+
+
+def test_tokens_are_keyed_hashes(spark):
+    import base64
+    import hmac
+
+    one = spark.createDataFrame([("r", "owner", "sha256:" + "a" * 64, "b" * 24)], "run string, role string, d string, nonce string")
+    token = E.signing_token(*map(F.col, ("run", "role", "d", "nonce")), b"k" * 70)
+    got = one.select(token.alias("t"), E.check_token(token, b"k" * 70)["role"].alias("role"), E.check_token(token, b"other").alias("wrong"), E.check_token(F.lit("!"), b"k").alias("bad")).first()
+    parts = base64.urlsafe_b64decode(got.t + "=" * (-len(got.t) % 4)).decode().split(".")
+    assert parts[4] == hmac.new(b"k" * 70, "|".join(parts[:4]).encode(), "sha256").hexdigest() and got.role == "owner" and got.wrong is None and got.bad is None
+
+
+def test_codes_of_groups(spark):
+    df = spark.createDataFrame([(1, ["EVAL.E_STATE_INVALID", "X.b"]), (1, ["CAPABILITY.constraint_violation", "PROTOCOL.missing_receipt", "KERNEL.z"]), (2, []), (3, ["PROTOCOL.policy_violation"])], "g int, codes array<string>")
+    got = {r.g: r.codes for r in R.collect_codes(df, "g", "codes").collect()}
+    assert got == {1: ["KERNEL.z", "EVAL.E_STATE_INVALID", "PROTOCOL.missing_receipt", "CAPABILITY.constraint_violation", "X.b"], 3: ["PROTOCOL.policy_violation"]}

@@ -132,3 +132,21 @@ def test_shapes_read_as_the_reader_does(seed):
         assert tried(V.parse, x) == tried(V.read, x)
         assert tried(V.canonical_of, x) == tried(lambda t: V.canonical(V.read(t)), x)
         assert tried(V.canonical_text_of, x) == tried(lambda t: V.to_text(V.read(t), True), x)
+
+
+def test_layout_and_lints():
+    from factloom.functions.formatting import first_difference, formatted, lint
+
+    assert formatted('@meta(v = 1, a = "o")\n"""\nx\ny\n"""\nReport([1,2])') == '@meta(a = "o", v = 1)\n"""\nx\ny\n"""\nReport([1, 2])'
+    for text in ("let {b=2; a=1} concat(a, b)", "let f=fn(x, y) => [x, y] f(1, 2)", "@ns u begin (a=2, b=1) end", "(@?a >= 1)", '"a $x $(b)"', "let (a, b)=[1, 2] a", "(gen=Generator(:uuid), new=@new(:uuid))"):
+        assert formatted(text) == text
+    assert first_difference("abc", "abc") is None and first_difference("ab", "abc") == 2 and first_difference("axc", "abc") == 1
+    assert lint(V.parse("[Expr(['and, true]), Path([1.5])]")) == ["EXPR_INVALID_ARITY", "PATH_INVALID_SEGMENT"]
+
+
+def test_ed25519_vectors():
+    from factloom.functions import ed25519
+
+    key, signature = ed25519.sign(bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60"), b"")  # RFC 8032, test 1
+    assert key.hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a" and signature.hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e06522490155")
+    assert ed25519.verify(key, b"", signature) and not ed25519.verify(key, b"x", signature) and not ed25519.verify(key, b"", signature[:-1]) and not ed25519.verify(b"\1" + b"\0" * 31, b"", signature)
