@@ -195,3 +195,15 @@ def test_codes_of_groups(spark):
     df = spark.createDataFrame([(1, ["EVAL.E_STATE_INVALID", "X.b"]), (1, ["CAPABILITY.constraint_violation", "PROTOCOL.missing_receipt", "KERNEL.z"]), (2, []), (3, ["PROTOCOL.policy_violation"])], "g int, codes array<string>")
     got = {r.g: r.codes for r in R.collect_codes(df, "g", "codes").collect()}
     assert got == {1: ["KERNEL.z", "EVAL.E_STATE_INVALID", "PROTOCOL.missing_receipt", "CAPABILITY.constraint_violation", "X.b"], 3: ["PROTOCOL.policy_violation"]}
+
+
+def test_chains_in_blocks(spark):
+    from pyspark.sql import Window
+
+    rows = [(ledger, s, f"h{s - 1}" if s % 13 else "broken", f"h{s}") for ledger in ("a", "b", None) for s in range(1, 60) if not (ledger == "b" and s in (20, 40))]
+    df = spark.createDataFrame(rows, "ledger string, s int, prev string, hash string")
+    w = Window.partitionBy("ledger").orderBy("s")
+    want = df.select("ledger", "s", (F.col("prev") == F.lag("hash", 1, R.GENESIS).over(w)).alias("link_ok"), (F.col("s") == F.row_number().over(w)).alias("sequence_ok"))
+    got = R.verify_chain(df, "ledger", "s", "prev", "hash", block=8).select("ledger", "s", "link_ok", "sequence_ok")
+    key = lambda r: (r.ledger or "", r.s)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
