@@ -667,6 +667,11 @@ def fact_digest_column(text: Column, strict: bool = False) -> Column:
     return _column("string", lambda t: fact_digest(parse(t)), strict)(text)
 
 
+def object_digest_column(text: Column, strict: bool = False) -> Column:
+    """SHA-256 of the canonical message, annotations included."""
+    return _column("string", lambda t: hashlib.sha256(encode(canonical_of(t))).hexdigest(), strict)(text)
+
+
 def canonical_json_column(text: Column, strict: bool = False) -> Column:
     return _column("string", canonical_json, strict)(text)
 

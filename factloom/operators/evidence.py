@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -243,6 +244,13 @@ def check_token(token: Column, secret: bytes) -> Column:
 # ------------------------------------------------------------------------------------------------ bundles and artifacts
 
 
+def read_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """Files of the bundles in a folder, one folder each: bundle, path inside it, content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    part = lambda i: F.regexp_extract("path", "/" + re.escape(root.rstrip("/").rpartition("/")[2]) + "/([^/]+)/(.+)$", i)
+    return files.select(part(1).alias("bundle"), part(2).alias("path"), "content").where("bundle <> ''")
+
+
 def check_bundles(files: DataFrame, references: DataFrame) -> DataFrame:
     """Bundles' artifacts against their manifests: artifact_hash and code (null where it holds).
 

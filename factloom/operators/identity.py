@@ -204,6 +204,16 @@ def parse_ledger(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("_f", fields).withColumn("event", canonical_json_floats(F.get_json_object(column, "$.event"))).select(*[c for c in lines.columns if c != column], "_f.*", "event")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSONL files (a trace, a ledger) that aren't blank."""
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0)
+
+
+def write_lines(df: DataFrame, path: str, **fields: Column) -> None:
+    """One canonical line for each row, of columns without floats."""
+    df.select(json_object(**fields).alias("value")).write.text(path)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return parse_ledger(spark.read.text(path))
 

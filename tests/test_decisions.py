@@ -207,3 +207,14 @@ def test_chains_in_blocks(spark):
     got = R.verify_chain(df, "ledger", "s", "prev", "hash", block=8).select("ledger", "s", "link_ok", "sequence_ok")
     key = lambda r: (r.ledger or "", r.s)
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_bundles_and_traces(spark, tmp_path):
+    for name, content in (("one", b"a"), ("two", b"b")):
+        (tmp_path / "bundles" / name / "sub").mkdir(parents=True)
+        (tmp_path / "bundles" / name / "sub" / "x.bin").write_bytes(content)
+    files = E.read_bundles(spark, str(tmp_path / "bundles"))
+    refs = spark.createDataFrame([("one", "sub/x.bin", "sha256:" + hashlib.sha256(b"a").hexdigest()), ("two", "sub/x.bin", "sha256:" + "0" * 64), ("two", "none", "x")], "bundle string, path string, expected string")
+    assert sorted((r.bundle, r.path, r.code) for r in E.check_bundles(files, refs).collect()) == [("one", "sub/x.bin", None), ("two", "none", "EVAL.E_STATE_INVALID"), ("two", "sub/x.bin", "EVAL.E_ARTIFACT_IDENTITY")]
+    I.write_lines(spark.createDataFrame([("s", 1)], "step string, n int"), str(tmp_path / "trace"), step=F.col("step"), n=F.col("n"))
+    assert [r.value for r in I.read_lines(spark, str(tmp_path / "trace")).collect()] == ['{"n":1,"step":"s"}']
