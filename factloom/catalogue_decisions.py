@@ -378,7 +378,7 @@ def revealed_fields(spark, sf):
 
 @register("format_checks", """
 SELECT event_id, event_id % 3 = 0 AS digest, event_id % 4 <> 1 AS step_id, event_id % 2 = 0 AS code, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'absolute' WHEN 2 THEN 'segments' WHEN 3 THEN 'backslash' ELSE 'empty' END AS unsafe,
-       CASE event_id % 3 WHEN 2 THEN NULL ELSE event_id END AS whole, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'ab' || event_id END AS normal, ['a', 'b'] || CASE WHEN event_id % 2 = 0 THEN ['c'] ELSE [] END AS items FROM events""")
+       CASE event_id % 3 WHEN 2 THEN NULL ELSE event_id END AS whole, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'ab' || event_id END AS normal, 'a,b' || CASE WHEN event_id % 2 = 0 THEN ',c' ELSE '' END AS items FROM events""")
 def format_checks(spark, sf):
     """Digests, step ids, failure codes, paths, whole numbers, normalised digests, unique appends."""
     k = F.col("event_id")
@@ -388,7 +388,7 @@ def format_checks(spark, sf):
     items = E.append_unique(F.array(F.lit("a"), F.lit("b")), F.when(k % 2 == 0, "c").otherwise("b"))
     return table(spark, sf, "events").select("event_id", "event_type").withColumn("t", text).select(
         "event_id", I.well_formed(F.col("t.digest"), "digest").alias("digest"), I.well_formed(F.col("t.step"), "step_id").alias("step_id"), I.well_formed(F.col("t.code"), "failure_code").alias("code"),
-        I.safe_relative_path(F.col("t.path")).alias("unsafe"), I.integer(F.col("t.number")).alias("whole"), I.normal_digest(F.col("t.raw")).alias("normal"), items.alias("items"),
+        I.safe_relative_path(F.col("t.path")).alias("unsafe"), I.integer(F.col("t.number")).alias("whole"), I.normal_digest(F.col("t.raw")).alias("normal"), F.concat_ws(",", items).alias("items"),
     )
 
 
@@ -511,12 +511,12 @@ def _instances(spark, sf):
 @register("evalir_requests", _EVALIR_SQL + """
 SELECT instance, CASE WHEN amount IS NULL THEN 'error' ELSE 'suspend' END AS control, CASE WHEN amount IS NULL THEN 'S0001' ELSE 'S0004' END AS current_step, CASE WHEN amount IS NULL THEN '' ELSE '{"at":[1,null],"kind":"checked"}' END AS emissions,
        CASE WHEN amount IS NOT NULL THEN args END AS args, CASE WHEN amount IS NOT NULL THEN request_id END AS request_id, CASE WHEN amount IS NULL THEN 'EVAL.E_STEP_CONTRACT' ELSE '' END AS errors,
-       CASE WHEN amount IS NOT NULL THEN amount >= 150000 END AS high FROM r""")
+       CASE WHEN amount IS NOT NULL THEN CAST(amount >= 150000 AS VARCHAR) END AS high FROM r""")
 def evalir_requests(spark, sf):
     """A JSON plan over all orders: expressions, rules, emissions, requests with their identities; rows that fail say so."""
     out = evalir.evaluate(_instances(spark, sf), _plan())
     first = F.try_element_at("requests", F.lit(1))
-    return out.select("instance", "control", "current_step", F.concat_ws("|", "emissions").alias("emissions"), first["args"].alias("args"), first["request_id"].alias("request_id"), F.concat_ws(",", "errors").alias("errors"), F.col("state.order.high").alias("high"))
+    return out.select("instance", "control", "current_step", F.concat_ws("|", "emissions").alias("emissions"), first["args"].alias("args"), first["request_id"].alias("request_id"), F.concat_ws(",", "errors").alias("errors"), F.col("state.order.high").cast("string").alias("high"))
 
 
 @register("evalir_obligations", _EVALIR_SQL + """
@@ -548,11 +548,11 @@ _ARTIFACT = """Tagged("workflow_artifact_v0", (id="a", version="v0", steps=[(op=
   (op=:join_obligations_v0, wait_for_steps=["ask"], policy="any_of"), (op=:assign, path="done", value=true), (op=:end)]))"""
 
 
-@register("artifact_plan_joined", "SELECT o_orderkey AS instance, CASE WHEN o_orderkey % 3 = 0 THEN 'end' ELSE 'suspend' END AS control, CASE WHEN o_orderkey % 3 = 0 THEN true END AS done FROM orders")
+@register("artifact_plan_joined", "SELECT o_orderkey AS instance, CASE WHEN o_orderkey % 3 = 0 THEN 'end' ELSE 'suspend' END AS control, CASE WHEN o_orderkey % 3 = 0 THEN 'true' END AS done FROM orders")
 def artifact_plan_joined(spark, sf):
     """An artifact compiled to a plan whose join waits for a request step by its name; instances past the request run it."""
     plan = evalir.compile_artifact(V.parse(_ARTIFACT))
     asked = plan["steps"][1]["obligations"][0]["params"]["request_hash"]
     start = _instances(spark, sf).withColumn("current_step", F.lit("S0002")).withColumn("control", F.lit("continue")).withColumn("steps_taken", F.lit(1))
     receipts = start.select("instance", F.when(F.col("instance") % 3 == 0, F.lit(asked)).otherwise("sha256:other").alias("request_hash"), F.lit("k").alias("signer"), F.lit(True).alias("signature_valid"))
-    return evalir.evaluate(start, plan, receipts=receipts, trusted=["k"]).select("instance", "control", F.col("state.done").alias("done"))
+    return evalir.evaluate(start, plan, receipts=receipts, trusted=["k"]).select("instance", "control", F.col("state.done").cast("string").alias("done"))
