@@ -3,12 +3,15 @@
 1. Identical vectors become one class (smallest id, number of copies), so copies are never paired.
 2. Each class gets signs of independent random rotations, cut into bands; classes that share a band's signs meet. The
    width and number of bands follow from the number of classes and the wanted miss probability at the threshold.
-3. Within a band, pairs are estimated from packed codes and stored correction factors against the other side's randomly
-   rounded rotated vector (unbiased, both ways round); a pair whose upper confidence bound is below the threshold is
-   dropped. What is left joins its band's members into candidate groups; only spanning edges leave a task.
+3. Pairs are estimated from packed codes and stored correction factors against the other side's randomly rounded rotated
+   vector (unbiased, both ways round); a pair whose upper confidence bound is below the threshold is dropped. What is left
+   joins vectors into candidate groups; only spanning edges leave a task. In a band bucket of up to ``BLOCK`` members all
+   pairs are estimated. In a larger one every member is first compared with a representative that a hash picks for each
+   bucket anew, which is enough for most of a dense group; then, where its members are still in several groups, each
+   member outside the largest meets the others, in units of two bounded blocks.
 4. A candidate group's pairs are recomputed exactly, in double precision, block by block: a group of any size is cut into
    blocks of bounded size and every pair of blocks is a unit of work of its own. Units return each vector's number of
-   links and its smallest relative, never the pairs.
+   links and its smallest relative, never the pairs. Every pair of a group is needed here, since links are counted.
 
 Defined results: unusable vectors (null, empty, zero, a null or non-finite component, another length than the
 commonest) link with nothing and stand alone, as does a row with a null id; repeated ids with different vectors are
@@ -28,8 +31,9 @@ from . import rabitq
 from .shared import Cuts, components
 
 THRESHOLD = 0.95
-#: Chance of missing a pair right at the threshold, width of the bounds, members of a block.
-MISS, DEVIATIONS, BLOCK = 4e-5, 4.0, 1024
+#: Chance of missing a pair right at the threshold, width of the bounds, members of a block where pairs are estimated and
+#: where they are recomputed, rows of a unit's matrix that are worked on together.
+MISS, DEVIATIONS, BLOCK, EXACT_BLOCK, TILE = 4e-5, 4.0, 1024, 2048, 256
 
 
 def bands(n: int, threshold: float, miss: float) -> tuple[int, int]:
@@ -96,16 +100,23 @@ class _Side:
         est = ((self.vector[a] * self.scaled[b]).sum(1) + (self.vector[b] * self.scaled[a]).sum(1)) / 2
         return est + (self.off[a] + self.off[b]) / 2
 
-    def upper_all(self, a, b):
-        est = (self.vector[a] @ self.scaled[b].T + self.scaled[a] @ self.vector[b].T) / 2
-        return est + (self.off[a][:, None] + self.off[b][None, :]) / 2
+    def likely(self, at, threshold: float) -> np.ndarray:
+        """Which pairs of ``at`` have an upper bound of at least the threshold, as a matrix."""
+        out = np.empty((len(at), len(at)), bool)
+        for i in range(0, len(at), TILE):
+            a = at[i : i + TILE]
+            est = (self.vector[a] @ self.scaled[at].T + self.scaled[a] @ self.vector[at].T) / 2
+            out[i : i + TILE] = est + (self.off[a][:, None] + self.off[at][None, :]) / 2 >= threshold
+        return out | out.T
 
 
 def _smallest(adjacent: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Smallest id that each row reaches over a symmetric adjacency matrix."""
     label = ids.copy()
     while True:
-        near = np.where(adjacent, label[None, :], np.iinfo(np.int64).max).min(1)
+        near = np.empty_like(label)
+        for i in range(0, len(ids), TILE):
+            near[i : i + TILE] = np.where(adjacent[i : i + TILE], label[None, :], np.iinfo(np.int64).max).min(1)
         new = np.minimum(label, near)
         new = np.minimum(new, new[np.searchsorted(ids, new)])
         if (new == label).all():
@@ -153,7 +164,7 @@ def _meet(size: int, threshold: float):
             for s, n in zip(starts[count > 24].tolist(), count[count > 24].tolist(), strict=True):
                 at = np.arange(s, s + n)
                 at = at[np.argsort(ids[at], kind="stable")]
-                root = _smallest(side.upper_all(at, at) >= threshold, ids[at])
+                root = _smallest(side.likely(at, threshold), ids[at])
                 out_a.append(ids[at][root != ids[at]])
                 out_b.append(root[root != ids[at]])
             if out_a:
@@ -162,6 +173,19 @@ def _meet(size: int, threshold: float):
     return run
 
 
+def _estimate(size: int, threshold: float):
+    """The pairs (a, b) whose upper bound reaches the threshold; rows hold both sides' codes."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            side = _Side(batch.column("x").to_pylist() + batch.column("y").to_pylist(), size)
+            kept = pa.array(np.flatnonzero(side.upper(np.arange(n), np.arange(n, 2 * n)) >= threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept)], names=["a", "b"])
+
+    return run
+
+
 def _recompute(dim: int, threshold: float):
     """Exact links of each unit: (id, links counted with copies, smallest id reached inside the unit)."""
 
@@ -176,13 +200,17 @@ def _recompute(dim: int, threshold: float):
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 at = s + np.argsort(ids_all[s:e], kind="stable")
                 ids, x = ids_all[at], x_all[at]
-                linked = (x @ x.T) / np.outer(norm[at], norm[at]) >= threshold
+                linked = np.empty((len(at), len(at)), bool)
+                for i in range(0, len(at), TILE):
+                    linked[i : i + TILE] = (x[i : i + TILE] @ x.T) / np.outer(norm[at[i : i + TILE]], norm[at]) >= threshold
+                linked |= linked.T  # a product rounds alike both ways but for its place in a tile
                 np.fill_diagonal(linked, False)
                 root = _smallest(linked, ids)
                 chunk = chunk_all[at]
                 if chunk.min() != chunk.max():  # pairs inside a block belong to that block's own unit
                     linked &= chunk[:, None] != chunk[None, :]
-                out.append((ids, linked @ mult_all[at].astype(np.float64), root))
+                mult = mult_all[at].astype(np.float64)
+                out.append((ids, np.concatenate([linked[i : i + TILE] @ mult for i in range(0, len(at), TILE)]), root))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (
                 [o[0] for o in out], [o[1].astype(np.int64) for o in out], [o[2] for o in out])], names=["id", "links", "root"])
 
@@ -199,6 +227,32 @@ def _units(df: DataFrame, count: str, hashed, block: int) -> DataFrame:
     return df.withColumn("chunk", chunk).withColumn("unit", F.explode(pairs))
 
 
+def represented(entries: DataFrame, block: int) -> DataFrame:
+    """(key, id) rows of buckets with more than one member; ``rep``: a representative, picked by a hash, of buckets with more
+    than ``block`` members, null for the others."""
+    own = entries.groupBy("key").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key")).alias("rep")).where("n > 1")
+    return entries.join(own.select("key", F.when(F.col("n") > block, F.col("rep")).alias("rep")), "key")
+
+
+def apart(members: DataFrame, group: str, block: int) -> DataFrame:
+    """Units in which all members of a group with different labels meet: (group, unit, id, label), groups of one label left out.
+
+    Members outside the group's largest label are dealt into blocks that meet one another and all blocks of the largest
+    label, whose own members needn't meet. A unit has two blocks at most.
+    """
+    counts = members.groupBy(group, "label").agg(F.count("*").alias("c"))
+    per = counts.groupBy(group).agg(F.max_by("label", "c").alias("major"), F.max("c").alias("most"), F.sum("c").alias("n")).where("most < n")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("long")
+    df = members.join(per, group).withColumn("km", blocks(F.col("n") - F.col("most"))).withColumn("kb", blocks(F.col("most"))).withColumn("minor", F.col("label") != F.col("major"))
+    df = df.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("km")).otherwise(F.col("kb"))))
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    among = F.transform(upto("km"), lambda x: F.least(x, F.col("chunk")) * F.col("km") + F.greatest(x, F.col("chunk")))
+    against = F.transform(upto("kb"), lambda y: F.col("km") * F.col("km") + F.col("chunk") * F.col("kb") + y)
+    large = F.transform(upto("km"), lambda x: F.col("km") * F.col("km") + x * F.col("kb") + F.col("chunk"))
+    units = F.when(F.col("n") <= block, F.array(F.lit(0).cast("long"))).when(F.col("minor"), F.concat(among, against)).otherwise(large)
+    return df.withColumn("unit", F.explode(units)).select(group, "unit", "id", "label")
+
+
 def find(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
@@ -215,16 +269,27 @@ def find(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -
         bits, count = bands(n, threshold, miss)
         size = -(-dim // 64) * 64
         entries = cuts.keep(classes.select("id", "embedding").mapInArrow(_entries(dim, bits, count), "key long, id long").distinct())
-        met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = cuts.keep(represented(entries, BLOCK))
         codes = classes.select("id", "embedding").mapInArrow(_codes(dim), "id long, code binary")
-        units = _units(entries.join(met, "key"), "n", F.xxhash64("id"), 4 * BLOCK).select("key", "unit", "id")
-        dealt = units.join(codes, "id").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
-        edges = cuts.keep(dealt.mapInArrow(_meet(size, threshold), "a long, b long").distinct())
-        cuts.drop(entries)
+
+        def meet(dealt):
+            dealt = dealt.join(codes, "id").select("key", "unit", "id", "code").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
+            return cuts.keep(dealt.mapInArrow(_meet(size, threshold), "a long, b long").distinct())
+
+        edges = meet(met.where("rep IS NULL").select("key", F.lit(0).cast("long").alias("unit"), "id"))
+        large = met.where("rep IS NOT NULL")
+        if large.limit(1).count():
+            stars = large.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+            stars = stars.join(codes.toDF("a", "x"), "a").join(codes.toDF("b", "y"), "b").select("a", "b", "x", "y")
+            edges = cuts.keep(edges.union(stars.mapInArrow(_estimate(size, threshold), "a long, b long")))
+            near = components(cuts, edges)
+            named = cuts.keep(large.join(near, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("label")))
+            edges = edges.union(meet(apart(named, "key", BLOCK).select("key", "unit", "id")))
         near = components(cuts, edges)
+        cuts.drop(entries, met)
         sizes = near.groupBy("component_id").agg(F.count("*").alias("n"))
         work = near.join(sizes, "component_id").join(classes, "id").withColumnRenamed("component_id", "group")
-        work = _units(work, "n", F.xxhash64("id"), BLOCK).select("group", "unit", "chunk", "id", "copies", "embedding")
+        work = _units(work, "n", F.xxhash64("id"), EXACT_BLOCK).select("group", "unit", "chunk", "id", "copies", "embedding")
         work = work.repartition("group", "unit").sortWithinPartitions("group", "unit")
         exact = cuts.keep(work.mapInArrow(_recompute(dim, threshold), "id long, links long, root long"))
         joined = components(cuts, exact.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")))
