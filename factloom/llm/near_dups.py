@@ -3,16 +3,18 @@
 1. A text's set is its distinct runs of ``words`` words (ASCII lower-cased). Texts with equal sets form one class, so
    exact copies are never paired, however many there are.
 2. Classes get a MinHash signature; bands of it bring candidates together, their rows and number following from the
-   threshold and the wanted miss probability. A band bucket of any size is dealt into blocks of bounded size, every pair
-   of blocks being a unit of work.
-3. In a unit, signatures are compared 16 positions at a time. After each step a pair goes if its posterior probability
-   of being similar enough (uniform prior, so a binomial tail) is below ``miss``; pairs whose set sizes exclude the
-   threshold go at once.
-4. Survivors are verified exactly on the full sets. First each text's best pair is, which settles most of a large group
-   of near copies with about one pair a member. Then the survivors that would still join two components put their texts
-   into candidate groups (spanning edges only leave a task), a group is dealt into pairs of bounded blocks, and all of a
-   block pair's survivors are verified where they are. So no link that would change a component is left out, and what is
-   shuffled grows with the texts, not with the pairs.
+   threshold and the wanted miss probability.
+3. Signatures are compared 16 positions at a time. After each step a pair goes if its posterior probability of being
+   similar enough (uniform prior, so a binomial tail) is below ``miss``; pairs whose set sizes exclude the threshold go at
+   once. Survivors are verified exactly on the full sets.
+4. First the members of a band bucket of up to ``BLOCK`` meet; in a larger one every member is compared with one
+   representative, which a hash picks for each bucket anew. Of a text's surviving pairs the best is verified: a group of
+   near copies, which meets in many buckets, hangs together after work in proportion to its members. Then only what is
+   still apart: in a bucket with several components each member outside the largest meets all the others, dealt into
+   units of two bounded blocks. Survivors there put their texts into candidate groups (spanning edges only leave a task),
+   which are dealt in the same way, and all of a unit's survivors are verified where they are. So no link that would
+   change a component is left out. What is shuffled is a multiple of the texts for groups that hang together; for members
+   that stay apart it is their number times the bucket's size over the block.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; fewer words than
 ``words`` give one run of all of them; repeated rows are copies; rows with a null id stand alone; an empty table gives
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import ragged
-from .embedding_dups import _units, groups_of
+from .embedding_dups import apart, groups_of, represented
 from .shared import SPACE, Cuts, byte_table, components, mix, shingles, steps, utf8, word_hashes, word_spans
 
 HASHES, STEP = 128, 16
@@ -172,6 +174,22 @@ def _best(a, b, m, ids):
     return a[keep], b[keep], m[keep]
 
 
+def _screen(percent: int, miss: float):
+    """The pairs (a, b) that pass the sequential test, with their equal positions; rows hold both sides' sizes and signatures."""
+    least = fewest_matches(percent / 100, miss)
+
+    def run(batches):
+        for batch in batches:
+            count = batch.num_rows
+            sig = np.frombuffer(b"".join(batch.column("x").to_pylist() + batch.column("y").to_pylist()), np.uint8).reshape(-1, HASHES)
+            n = np.concatenate([batch.column("nx").to_numpy(), batch.column("ny").to_numpy()])
+            at, _, m = _survivors(sig, n, np.arange(2 * count), percent, least, (np.arange(count), np.arange(count, 2 * count)))
+            kept = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept), pa.array(m.astype(np.int32))], names=["a", "b", "m"])
+
+    return run
+
+
 def _span(a, b, m, ids):
     """Spanning edges of the pairs' graph: each member with the smallest index that it reaches."""
     near = np.arange(len(ids))
@@ -188,7 +206,7 @@ def _span(a, b, m, ids):
 
 
 def _meet(percent: int, miss: float, choose):
-    """What ``choose`` takes of each bucket's pairs that pass the sequential test and would join two components."""
+    """What ``choose`` takes of each unit's pairs that pass the sequential test and would join two components."""
     least = fewest_matches(percent / 100, miss)
 
     def run(batches):
@@ -289,37 +307,42 @@ def find(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = MISS,
     live = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumnRenamed("n_shingles", "size")
     classes = live.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     classes = cuts.keep(classes)
-    entries = classes.select("id", F.explode("bands").alias("key"))
-    met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    units = cuts.keep(_units(entries.join(met, "key"), "n", F.xxhash64("id"), BLOCK).select("key", "unit", "id"))
     marks = classes.select("id", "size", "sig")
-    ordered = lambda df: df.select("key", "unit", "id", "size", "sig", "label").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
-    met_pairs = ordered(units.join(marks.withColumn("label", F.col("id")), "id")).mapInArrow(_meet(percent, miss, _best), "a long, b long, m int")
-    pairs = cuts.keep(met_pairs.groupBy("a", "b").agg(F.max("m").alias("m")))
-    # every text that survives with any other does so here
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cuts.keep(text.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"))
-    # over all buckets, each text's best pair
+    met = cuts.keep(represented(classes.select("id", F.explode("bands").alias("key")), BLOCK))
+    ordered = lambda df: df.join(marks, "id").select("key", "unit", "id", "size", "sig", "label").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
+    small = ordered(met.where("rep IS NULL").withColumn("unit", F.lit(0).cast("long")).withColumn("label", F.col("id"))).mapInArrow(_meet(percent, miss, _best), "a long, b long, m int")
+    # every member of a large bucket with the bucket's representative
+    side = lambda end, own, more: more.select(F.col("id").alias(end), *[F.col(c).alias(n) for c, n in own.items()])
+    stars = met.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+    stars = stars.join(side("a", {"size": "nx", "sig": "x"}, marks), "a").join(side("b", {"size": "ny", "sig": "y"}, marks), "b").select("a", "b", "nx", "x", "ny", "y")
+    pairs = small.union(stars.mapInArrow(_screen(percent, miss), "a long, b long, m int"))
+    pairs = cuts.keep(pairs.groupBy("a", "b").agg(F.max("m").alias("m")))
+    # of these, each text's best pair is verified
     ends = F.explode(F.array(*(F.struct(F.col(p).alias("own"), F.struct(F.col("m"), (-F.col(q)).alias("other")).alias("to")) for p, q in ("ab", "ba"))))
     best = pairs.select(ends.alias("e")).groupBy("e.own").agg(F.max("e.to").alias("to"))
-    chosen = best.select(F.least("own", -F.col("to.other")).alias("a"), F.greatest("own", -F.col("to.other")).alias("b")).distinct()
-    sided = chosen.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    chosen = cuts.keep(best.select(F.least("own", -F.col("to.other")).alias("a"), F.greatest("own", -F.col("to.other")).alias("b")).distinct())
+    needed = chosen.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cuts.keep(text.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"))
+    sided = chosen.join(side("a", {"grams": "x"}, sets), "a").join(side("b", {"grams": "y"}, sets), "b")
     checked = cuts.keep(sided.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
     labels = components(cuts, checked.where("linked").select("a", "b"))
-    # only buckets in which two components meet go on
+    cuts.drop(pairs, chosen, checked)
+    # only buckets in which components are still apart go on
     label = F.coalesce("component_id", "id").alias("label")
-    named = cuts.keep(units.join(labels, "id", "left").select("key", "unit", "id", label))
-    mixed = named.groupBy("key", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "unit")
-    open_ = ordered(named.join(mixed, ["key", "unit"], "left_semi").join(marks, "id"))
-    edges = cuts.keep(open_.mapInArrow(_meet(percent, miss, _span), "a long, b long, m int").select("a", "b").distinct())
-    cuts.drop(pairs, checked, named, units)
+    named = cuts.keep(met.join(labels, "id", "left").select("key", "id", label))
+    edges = ordered(apart(named, "key", BLOCK)).mapInArrow(_meet(percent, miss, _span), "a long, b long, m int")
+    edges = cuts.keep(edges.select("a", "b").distinct())
+    cuts.drop(met, named)
     if edges.limit(1).count():
         groups = components(cuts, edges).withColumnRenamed("component_id", "group")
-        work = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
-        work = _units(work, "n", F.xxhash64("id"), BLOCK // 2).select("group", "unit", "id")
-        work = work.join(labels, "id", "left").select("group", "unit", "id", label).join(marks, "id").join(sets, "id")
+        named = cuts.keep(groups.join(labels, "id", "left").select("group", "id", label))
+        more = named.select("id").join(sets.select("id"), "id", "left_anti").withColumnRenamed("id", "doc_id")
+        more = cuts.keep(text.join(more, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"))
+        work = apart(named, "group", BLOCK // 2).join(marks, "id").join(sets.union(more), "id")
         work = work.select("group", "unit", "id", "size", "sig", "label", "grams").repartition("group", "unit").sortWithinPartitions("group", "unit", "id")
         labels = _merged(cuts, labels, cuts.keep(work.mapInArrow(_settle(percent, miss), "a long, b long")))
+        cuts.drop(named, more)
+    cuts.drop(edges, sets)
     ids = classes.select("id", "h1", "h2", "size").join(labels, "id", "left").select("h1", "h2", "size", F.coalesce("component_id", "id").alias("component_id"))
     inside = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumnRenamed("n_shingles", "size").join(ids, ["h1", "h2", "size"])
     outside = rows.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
