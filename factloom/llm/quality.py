@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE, byte_table, fold, labelled_sample, mix, shape_table, steps, utf8, word_hashes, word_spans
+from .shared import SPACE, byte_table, fold, give_back, labelled_sample, mix, shape_table, steps, utf8, word_hashes, word_spans
 
 #: Most labelled rows that a fit takes to the driver, and the tail probability that keeps a document.
 SAMPLE_ROWS = 6000
@@ -84,7 +84,7 @@ def fit(texts, y, bits: int = 16, epochs: int = 30, batch: int = 256, rate: floa
     k = np.searchsorted(grades, y)
     data, offsets = utf8(pa.array(list(texts), pa.large_string()))
     parts, bounds = [np.zeros((4, 0), np.int32)], [np.zeros(1, np.int64)]
-    for i, j in steps(offsets):  # a step at a time, to bound the memory
+    for i, j in steps(offsets, 1 << 19):  # a step at a time, to bound the memory
         own, b = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
         parts.append(own.astype(np.int32))
         bounds.append(b[1:] + bounds[-1][-1])
@@ -129,7 +129,10 @@ def fit(texts, y, bits: int = 16, epochs: int = 30, batch: int = 256, rate: floa
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     got = labelled_sample(docs, labels, "quality", sample_rows)
-    return fit(got["text"].tolist(), got["y"].to_numpy())
+    model = fit(got["text"].tolist(), got["y"].to_numpy())
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, least_grade: int | None = None, probability: float = KEEP_PROBABILITY, carry: list[str] | None = None) -> DataFrame:

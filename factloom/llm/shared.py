@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -213,9 +214,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         small = small.join(F.broadcast(spark.createDataFrame([(i,) for i in fits], "doc_id long")), "doc_id")
     found = small.select("doc_id", *columns, "y").toPandas().sort_values("doc_id").reset_index(drop=True)
     cuts.drop(small)
+    give_back()
     return found
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that the peak of a fit isn't held by the driver while later jobs run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has this call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --------------------------------------------------------------------------------------------- components
 
 
