@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random rotation of vectors padded to a multiple of 64."""
-    size = -(-dim // 64) * 64
+def rotation(dim: int, seed: int, bits: int = 0) -> np.ndarray:
+    """A random rotation of vectors padded with zeros to a multiple of 64, or to more ``bits`` for finer codes."""
+    size = -(-max(dim, bits) // 64) * 64
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))
     return (q * np.sign(np.diag(r)))[:dim].astype(np.float64)  # [dim, size]: vectors are rows
 
