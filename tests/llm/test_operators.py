@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, embedding_dups, html_text, near_dups, packing, quality, sharding, toxicity, urls
+from factloom.llm import ann, bpe, embedding_dups, html_text, near_dups, packing, quality, rabitq, sharding, toxicity, urls
 from factloom.llm.shared import Cuts, components, fold_of, labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,6 +63,51 @@ def test_near_dups(spark, words, percent):
     assert near_dups.find(df.limit(0)).count() == 0
 
 
+def chained(n=90, seed=3):
+    """Texts of one template that drift apart step by step, so that a bucket holds several components."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        w = base[:]
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(len(w))] = f"c{r.randrange(400)}"
+        out.append(" ".join(w))
+        if i % 10 == 9:
+            base[r.randrange(60)] = f"d{i}"
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_dups_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    rows = list(enumerate(chained()))
+    own = [(i, sets(t, 3)) for i, t in rows]
+    part = {i: i for i, _ in own}
+    links = [(i, j) for i, a in own for j, b in own if i < j and 100 * len(a & b) >= 85 * len(a | b)]
+    for _ in own:
+        for i, j in links:
+            part[i] = part[j] = min(part[i], part[j])
+    assert 1 < len(set(part.values())) < len(own)
+    got = {r.doc_id: r.component_id for r in near_dups.find(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == part
+
+
+def test_members_that_are_apart_meet(spark):
+    rows = [("g", i, 0 if i < 50 else i) for i in range(70)] + [("h", i, 7) for i in range(40)] + [("k", i, i % 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "key string, id long, label long")
+    units = {}
+    for r in embedding_dups.apart(df, "key", 8).collect():
+        units.setdefault((r.key, r.unit), []).append((r.id, r.label))
+    assert all(k != "h" for k, _ in units) and max(map(len, units.values())) <= 40
+    met = {(k, a, b) for (k, _), own in units.items() for a, x in own for b, y in own if x != y}
+    assert met == {(k, a, b) for k, a, x in rows for j, b, y in rows if j == k and x != y}
+    one = spark.createDataFrame([("g", i, 0) for i in range(5000)] + [("g", 9000, 1)], "key string, id long, label long")
+    assert embedding_dups.apart(one, "key", 64).count() < 2 * 5001  # a large group that hangs together isn't copied
+    got = embedding_dups.represented(df.select("key", "id"), 10).collect()
+    assert len(got) == len(rows) and len({(r.key, r.rep) for r in got}) == 3 and {r.key for r in got if r.rep is None} == {"k"}
+
+
 def test_near_dups_at_a_low_threshold(spark):
     assert near_dups.banding(85, near_dups.BAND_MISS) == (21, 6)
     for percent in (10, 50, 80, 95, 100):
@@ -179,6 +224,24 @@ def test_embedding_dups(spark):
     assert embedding_dups.find(df.limit(0)).count() == 0
 
 
+def test_embedding_dups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dups, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dups, "EXACT_BLOCK", 8)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(260, 24))
+    x[:200] = x[0] + r.normal(size=(200, 24)) * np.linspace(0.02, 0.3, 200)[:, None]
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    part = np.arange(len(x))
+    for _ in range(len(x)):
+        part = np.minimum(part, np.where(linked, part[None, :], len(x)).min(1))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dups.find(df).collect()}
+    assert got == {i: (linked[i].sum(), part[i]) for i in range(len(x))}
+
+
 def test_embedding_bands_miss_as_little_as_near_dups():
     for n in (2, 2000, 10**5, 10**8):
         bits, count = embedding_dups.bands(n, embedding_dups.THRESHOLD, embedding_dups.MISS)
@@ -197,6 +260,26 @@ def test_nearest(spark):
     assert ann.search(df.limit(0), df).count() == 0
     few = df.where("vec_id < 4")
     assert ann.search(few, few).groupBy("query_id").count().collect()[0]["count"] == 3
+    twice = ann.search(df.where("vec_id < 30").union(df.where("vec_id = 7")), df.where("vec_id = 3"), k=40).collect()
+    assert len(twice) == 30 and sum(r.vec_id == 7 for r in twice) == 2  # a repeated row is a candidate of its own
+
+
+def test_nearest_measures_survivors_only():
+    """Recall on random vectors, the hardest case, and how few originals are measured."""
+    x = np.random.default_rng(6).normal(size=(4000, 32)).astype(np.float32).astype(float)
+    centre, own = x.mean(0), np.arange(0, 4000, 100)
+    turn = rabitq.rotation(32, 1, ann.BITS)
+    norm = np.linalg.norm(x - centre, axis=1)
+    unit = (x - centre) / norm[:, None]
+    codes, factor = rabitq.encode(unit, turn)
+    scan = ann.Scan(own, (unit[own] @ turn).astype(np.float32), norm[own], x[own], 10, ann.DEVIATIONS)
+    for i in range(0, 4000, 1000):
+        scan.see(np.arange(i, i + 1000), codes[i : i + 1000], factor[i : i + 1000], norm[i : i + 1000], x[i : i + 1000])
+    got = scan.result().to_pandas()
+    d = ((x[own, None] - x[None]) ** 2).sum(2)
+    d[np.arange(40), own] = np.inf
+    want = {(100 * q, v) for q, row in enumerate(np.argsort(d, 1)[:, :10]) for v in row}
+    assert len(want & set(zip(got["query_id"], got["vec_id"], strict=True))) >= 0.98 * len(want) and scan.measured < 0.15 * 40 * 4000
 
 
 def test_sharding(spark):
@@ -397,6 +480,72 @@ def test_quality_is_ordinal(spark):
     assert quality.fit(["a"], [1]).tails(np.zeros(2)).shape == (2, 0)
 
 
+def test_empty_tables_and_clashing_columns(spark, tmp_path, extractor):
+    """Every operator on a table without rows, and on rows with columns named like its own."""
+    import corpus_pipeline as c
+
+    x, y = labelled(120)
+    tox, qual = toxicity.fit(x, y, ["en"] * len(x), table_bits=10), quality.fit(x, y, bits=10)
+    own = "doc_id size n_shingles component_id kept key unit label id a b m h1 h2 bands sig grams group ids decoded n_tokens start length toxicity_score selected text_crc32 kd_x shard2 slot".split()
+    docs = frame(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    wide = docs
+    for name in own[1:]:
+        wide = wide.withColumn(name, F.lit("mine"))
+    pages = spark.createDataFrame([(1, "http://a.net/x", "<article><p>Some text of a page, long enough.</p></article>")], "page_id long, url string, html string")
+    wide_pages = pages.withColumn("text", F.lit(1)).withColumn("rule", F.lit(2)).withColumn("host", F.lit(3)).withColumn("n_chars", F.lit(4))
+    vec, _ = vectors(spark, n=130)
+    wide_vec = vec.select("*", *[F.lit("mine").alias(n) for n in ("id", "key", "unit", "group", "rank", "score", "query_id", "copies", "links", "x", "q")])
+    runs = {
+        "near_dups": (near_dups.find, docs, wide), "packing": (lambda d: packing.pack(d, PATH), docs, wide), "sharding": (lambda d: sharding.shard(d, 4), docs, wide), "bpe": (lambda d: bpe.digests(d, PATH, ["doc_id"]), docs, wide),
+        "bpe all": (lambda d: bpe.encode(d, PATH).select("doc_id", "ids"), docs, wide), "toxicity": (lambda d: toxicity.score(d, tox).select("doc_id", "toxicity_score", "flagged"), docs, wide),
+        "quality": (lambda d: quality.score(d, qual).select("doc_id", "latent", "selected"), docs, wide), "urls": (lambda d: urls.judge(d).select("page_id", "rule", "verdict"), pages, wide_pages),
+        "html": (lambda d: html_text.extract(d, extractor).select("page_id", "text"), pages, wide_pages), "embedding": (embedding_dups.find, vec, wide_vec), "nearest": (lambda d: ann.search(d, d.where("vec_id < 3"), k=2), vec, wide_vec),
+    }
+    plain = lambda df: sorted(map(str, (tuple(r.asDict().items()) for r in df.select(*sorted(n for n in df.columns if n != "sequence_id")).collect())))
+    for name, (run, narrow, broad) in runs.items():
+        assert run(narrow.limit(0)).count() == 0, name
+        if name in ("near_dups", "sharding", "embedding", "packing"):  # the plain table's results are tested elsewhere
+            assert run(broad).select("vec_id" if name == "embedding" else "doc_id").distinct().count() == broad.select(broad.columns[0]).distinct().count(), name
+        else:
+            keep = run(narrow).columns
+            assert plain(run(broad).select(*keep)) == plain(run(narrow)), name
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
+    with pytest.raises(ValueError, match="clash"):
+        sharding.write_shards(docs.withColumn("kd_size", F.lit(1)), str(tmp_path / "clash"), 4)
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in c.STAGES:
+        assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).count() == 0
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from factloom.llm.shared import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, other: folder or other), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://x:7077", "hdfs://y/z")) == "hdfs://y/z" and shared_folder(session("local[4]")).startswith("file:")
+    for master in ("spark://x:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))
+
+
+def test_tables_that_nothing_reads_are_deleted(spark):
+    import os
+
+    cuts = Cuts(spark)
+    one = cuts.keep(spark.range(3))
+    path = cuts.root.removeprefix("file://")
+    assert os.listdir(path) == ["1"]
+    cuts.drop(one)
+    assert os.listdir(path) == []
+    cuts.keep(spark.range(3))
+    cuts._at_end()
+    assert not os.path.exists(path)
+
+
 def test_held_out_fold():
     assert fold_of(17) == zlib.crc32(b"17") % 5
 
