@@ -325,11 +325,11 @@ def ledger_lines_round_trip(spark, sf):
 @register("ledger_append", """
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2, event_id) AS sequence, true AS link_ok, true AS hash_ok FROM events""")
 def ledger_append(spark, sf):
-    """Odd events appended behind the heads of ledgers of the even ones."""
-    e = _ledger_events(spark, sf)
-    first = I.build_ledger(e.where("event_id % 2 = 0"), "user_id", ["event_id"], "event")
+    """Odd events appended behind the heads of ledgers of the even ones; negative odd ones come before these, null ones last."""
+    e = _ledger_events(spark, sf).withColumn("turn", F.coalesce(F.col("event_id") % 2, F.lit(2)))
+    first = I.build_ledger(e.where("turn < 1"), "user_id", ["turn", "event_id"], "event")
     heads = R.chain_head(first, "user_id", "sequence", "event_hash")
-    second = I.build_ledger(e.where("event_id % 2 = 1"), "user_id", ["event_id"], "event", heads)
+    second = I.build_ledger(e.where("turn >= 1"), "user_id", ["turn", "event_id"], "event", heads)
     return I.check_ledger(first.union(second), "user_id").select("user_id", "event_id", "sequence", "link_ok", "hash_ok")
 
 

@@ -10,7 +10,7 @@ import json
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,26 +153,30 @@ def build_ledger(events: DataFrame, ledger: str, order: list[str], event: str, h
     """Appends events (canonical JSON) in order: sequence, prev_hash and event_hash for each.
 
     ``heads`` (ledger, head, entries) are the ledgers so far. A chain is sequential by nature: a ledger is one task's
-    stream, of which it holds a batch; ledgers are built side by side.
+    stream, of which it holds a batch; ledgers are built side by side. Events that tie in ``order`` follow by their text,
+    so a chain that is built twice has the same hashes.
+
+    The numbering is a window, which holds each ledger together in order whatever adaptive execution makes of the plan
+    below it; an explicit repartition is left out over a join that is partitioned already, which then may become a
+    broadcast join that reads its rows map by map.
     """
-    df = events
     if heads is not None:
-        df = df.join(heads.select(ledger, F.col("head").alias("_head"), F.col("entries").alias("_entries")), ledger, "left")
+        so_far = heads.select(F.col(ledger).alias("_ledger"), F.col("head").alias("_head"), F.col("entries").cast("long").alias("_entries"))
+        df = events.join(so_far, F.col(ledger).eqNullSafe(F.col("_ledger")), "left")
     else:
-        df = df.withColumn("_head", F.lit(None).cast("string")).withColumn("_entries", F.lit(None).cast("long"))
-    df = df.withColumn("_entries", F.col("_entries").cast("long"))
+        df = events.withColumn("_head", F.lit(None).cast("string")).withColumn("_entries", F.lit(None).cast("long"))
     names = events.columns
-    at_ledger, at_event = names.index(ledger), names.index(event)
+    at_event = names.index(event)
     new = [T.StructField("sequence", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("event_hash", T.StringType())]
 
     def run(batches):
-        current, n, head = object(), 0, R.GENESIS
+        n, head = 0, R.GENESIS
         for batch in batches:
             made = [], [], []
-            columns = [batch.column(i).to_pylist() for i in (at_ledger, at_event, len(names), len(names) + 1)]
-            for key, text, start, entries in zip(*columns, strict=True):
-                if key != current:
-                    current, n, head = key, entries or 0, start or R.GENESIS
+            columns = [batch.column(i).to_pylist() for i in (at_event, *range(len(names), len(names) + 3))]
+            for text, start, entries, place in zip(*columns, strict=True):
+                if place == 1:
+                    n, head = entries or 0, start or R.GENESIS
                 n += 1
                 scope = f'{{"event":{text},"prev_hash":"{head}","sequence":{n}}}'
                 made[0].append(n)
@@ -181,7 +185,8 @@ def build_ledger(events: DataFrame, ledger: str, order: list[str], event: str, h
                 made[2].append(head)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(made[0], pa.int64()), pa.array(made[1], pa.string()), pa.array(made[2], pa.string())], names=[*names, *(f.name for f in new)])
 
-    ordered = df.select(*names, "_head", "_entries").repartition(ledger).sortWithinPartitions(ledger, *order)
+    place = F.row_number().over(Window.partitionBy(ledger).orderBy(*order, event))
+    ordered = df.select(*names, "_head", "_entries", place.alias("_place"))
     return ordered.mapInArrow(run, T.StructType([*[events.schema[c] for c in names], *new]))
 
 

@@ -218,3 +218,39 @@ def test_bundles_and_traces(spark, tmp_path):
     assert sorted((r.bundle, r.path, r.code) for r in E.check_bundles(files, refs).collect()) == [("one", "sub/x.bin", None), ("two", "none", "EVAL.E_STATE_INVALID"), ("two", "sub/x.bin", "EVAL.E_ARTIFACT_IDENTITY")]
     I.write_lines(spark.createDataFrame([("s", 1)], "step string, n int"), str(tmp_path / "trace"), step=F.col("step"), n=F.col("n"))
     assert [r.value for r in I.read_lines(spark, str(tmp_path / "trace")).collect()] == ['{"n":1,"step":"s"}']
+
+
+def test_ledgers_hold_together_where_a_join_turns_broadcast(spark, tmp_path):
+    rows = [(None if i % 5 == 4 else i % 5, i // 5, f'{{"n":{i}}}') for i in range(400)]
+    for k in range(4):  # every ledger in every file
+        spark.createDataFrame(rows[k::4], "ledger int, k int, event string").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    first = I.build_ledger(e.where("k < 40"), "ledger", ["k"], "event")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.openCostInBytes": "128m"}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        second = I.build_ledger(e.where("k >= 40"), "ledger", ["k"], "event", R.chain_head(first, "ledger", "sequence", "event_hash"))
+        got = I.check_ledger(first.union(second), "ledger").collect()
+    finally:
+        for name in changed:
+            spark.conf.unset(name)
+    assert len(got) == 400 and all(r.sequence == r.k + 1 and r.link_ok and r.hash_ok and r.sequence_ok for r in got)
+
+
+def test_events_that_tie_follow_by_their_text(spark):
+    e = spark.createDataFrame([("x", 1, f'{{"n":{i}}}') for i in (3, 1, 2)], "ledger string, k int, event string")
+    assert [r.event for r in I.build_ledger(e, "ledger", ["k"], "event").orderBy("sequence").collect()] == ['{"n":1}', '{"n":2}', '{"n":3}']
+
+
+def test_ledger_append_takes_every_event(spark, tmp_path):
+    import duckdb
+
+    from factloom import catalogue
+
+    rows = [(u, i, ("view", "error")[(i or 0) % 2]) for u in (1, None) for i in (-5, -4, -3, 0, 1, 2, 3, None)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.QUERIES["ledger_append"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=repr) == sorted(db.sql(catalogue.ORACLE_SQL["ledger_append"]).fetchall(), key=repr)
