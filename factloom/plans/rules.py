@@ -269,6 +269,48 @@ def _body(spark: SparkSession, known: dict[str, Relation], body: list) -> tuple[
     return rows, kinds
 
 
+def _head_of(head: tuple, rows: DataFrame, kinds: dict) -> Relation:
+    terms = [(F.col(f"v_{t}") if isinstance(t, Var) else F.lit(str(t) if isinstance(t, str) else t)).alias(f"a{i}") for i, t in enumerate(head[1:])]
+    return Relation(rows.select(*terms), [kinds[t] if isinstance(t, Var) else _kind(t) for t in head[1:]])
+
+
+def _apart(spark: SparkSession, known: dict[str, Relation], head: tuple, body: list) -> tuple[list[DataFrame], dict] | None:
+    """Bindings of a body of two predicates that share out the head's variables, so that they may pair many with many.
+
+    Two parts: in the first no two bindings agree in the head, so it needs no distinct over what may be far more rows
+    than the predicates have; the second has the other bindings, and no head row of the first. A predicate's rows count
+    as single where its head variables have one value only of the variables beside them. None for any other body.
+    """
+    atoms = [i for i, b in enumerate(body) if b[0] not in BUILTINS]
+    heads = {t for t in head[1:] if isinstance(t, Var)}
+    if len(atoms) != 2 or any(body[i][0] not in known or heads <= set(body[i][1:]) for i in atoms):
+        return None
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows may make very many pairs
+    single, several, every = {}, {}, {}
+    for i in atoms:
+        rows, kinds = _pattern(known[body[i][0]], body[i][1:])
+        used = heads | {t for j, b in enumerate(body) if j != i for t in b[1:] if isinstance(t, Var)}
+        names = sorted((v for v in kinds if v in used), key=lambda v: v not in heads)
+        key, rest = [f"v_{v}" for v in names if v in heads], [f"v_{v}" for v in names if v not in heads]
+        body = [*body[:i], (f"#{i}", *map(Var, names)), *body[i + 1 :]]
+        as_relation = lambda df: Relation(df.toDF(*[f"a{j}" for j in range(len(df.columns))]), [kinds[c[2:]] for c in df.columns])  # noqa: B023, E731
+        rows = rows.select(*key, *rest)
+        every[f"#{i}"] = as_relation(rows)
+        if not rest:
+            single[f"#{i}"] = as_relation(rows.distinct().repartition(parts))
+            continue
+        ends = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("lo"), F.max(F.struct(*rest)).alias("hi"))
+        same = F.col("lo").eqNullSafe(F.col("hi"))
+        single[f"#{i}"] = as_relation(ends.where(same).select(*key, *[F.col(f"lo.{c}") for c in rest]).repartition(parts))
+        again = ends.where(~same).select(*[F.col(c).alias(f"k_{c}") for c in key])
+        several[f"#{i}"] = as_relation(rows.join(again, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key]), "left_semi"))
+    one, two = (f"#{i}" for i in atoms)
+    first, kinds = _body(spark, single, body)
+    rest = [{one: several[one], two: every[two]}] if one in several else []
+    rest += [{one: single[one], two: several[two]}] if two in several else []
+    return [first, *[_body(spark, r, body)[0] for r in rest]], kinds
+
+
 def _relations(spark: SparkSession, program: Program, relations: dict[str, DataFrame] | None = None) -> dict[str, Relation]:
     known = {k: Relation.of(df) for k, df in (relations or {}).items()}
     for name in dict.fromkeys(f[0] for f in program.facts):
@@ -277,13 +319,18 @@ def _relations(spark: SparkSession, program: Program, relations: dict[str, DataF
         known[name].rows = known[name].rows.distinct()
     for head in dict.fromkeys(h[0] for h, _ in program.rules):
         parts = [known[head]] if head in known else []
-        for h, body in program.rules:
-            if h[0] != head:
-                continue
+        mine = [(h, body) for h, body in program.rules if h[0] == head]
+        apart = _apart(spark, known, *mine[0]) if len(mine) == 1 and not parts else None
+        if apart:
+            first, *others = [_head_of(mine[0][0], rows, apart[1]) for rows in apart[0]]
+            if others:
+                first.rows = first.rows.union(reduce(Relation.union, others).rows.distinct())
+            known[head] = first
+            continue
+        for h, body in mine:
             rows, kinds = _body(spark, known, body)
             if rows is not None:
-                terms = [(F.col(f"v_{t}") if isinstance(t, Var) else F.lit(str(t) if isinstance(t, str) else t)).alias(f"a{i}") for i, t in enumerate(h[1:])]
-                parts.append(Relation(rows.select(*terms), [kinds[t] if isinstance(t, Var) else _kind(t) for t in h[1:]]))
+                parts.append(_head_of(h, rows, kinds))
         if parts:
             known[head] = reduce(Relation.union, parts)
             known[head].rows = known[head].rows.distinct()

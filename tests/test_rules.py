@@ -58,3 +58,26 @@ def test_plans():
         workflow.validate([{"step_id": "S0002", "op": "end"}, {"step_id": "S0001", "op": "end"}])
     with pytest.raises(workflow.PlanError):
         workflow.validate([{"step_id": "S0001", "op": "emit", "emission": "x", "next_step_id": "S0001"}, {"step_id": "S0002", "op": "end"}])
+
+
+def test_many_to_many_rules_have_each_row_once(spark):
+    left = spark.createDataFrame([(i % 40, i % 3, float(i % 7)) for i in range(90)] + [(100, 1, 2.0)] * 2 + [(None, 1, 0.0), (None, 2, 0.0), (101, None, 1.0), (102, 0, None)], "c long, n int, x double")
+    right = spark.createDataFrame([(i % 25, i % 3, float(i % 11)) for i in range(60)] + [(200, 1, 9.0), (200, 1, 9.0), (201, 1, None), (None, 1, 5.0)], "s long, n int, y double")
+    for rule, keep in (
+        ('(:- (pair ?c ?s) (left ?c ?n ?x) (right ?s ?n ?y) (< ?x ?y))', lambda c, n, x, s, m, y: n is not None and n == m and None not in (x, y) and x < y),
+        ('(:- (pair ?c ?s) (left ?c ?n ?x) (right ?s ?m ?y))', lambda *_: True),
+        ('(:- (pair ?c ?s) (left ?c 1 ?x) (> ?x 1) (right ?s ?n ?n))', lambda c, n, x, s, m, y: n == 1 and x > 1 and None not in (m, y) and m == y),
+    ):
+        got = rules.derive(spark, parse_source(f"(rules-sexpr-v0 (facts) (rules {rule}) (query (pair ?a ?b)))"), {"left": left, "right": right})["pair"].collect()
+        want = {(a[0], b[0]) for a in left.collect() for b in right.collect() if keep(*a, *b)}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_single_rows_pair_without_a_distinct(spark):
+    """Pairs of rows that are alone under their ids, as keys are, aren't shuffled to be told apart."""
+    left, right = (spark.range(200).selectExpr("id", "id % 2 AS n", "double(id) AS x") for _ in range(2))
+    source = "(rules-sexpr-v0 (facts) (rules (:- (poorer ?c ?s) (left ?c ?n ?x) (right ?s ?n ?y) (< ?x ?y))) (query (poorer ?a ?b)))"
+    out = rules.derive(spark, parse_source(source), {"left": left, "right": right})["poorer"]
+    assert out.count() == 2 * 100 * 99 // 2
+    top = out._jdf.queryExecution().optimizedPlan()
+    assert top.nodeName() == "Union" and [top.children().apply(i).toString().startswith("Aggregate") for i in range(2)] == [False, True]
