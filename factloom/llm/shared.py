@@ -185,6 +185,22 @@ def fold_of(doc_id: int, folds: int = 5) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, columns=("text", "lang")) -> DataFrame:
+    """All labelled rows outside fold 0: doc_id, the columns and y.
+
+    Of rows that repeat an id the smallest text counts, of several labels of one document the largest; null ids, labels
+    and texts take no part.
+    """
+    own = (
+        labels.select("doc_id", F.col(label).cast("int").alias("y"))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id")) != 0))
+        .groupBy("doc_id").agg(F.max("y").alias("y"))
+    )
+    rows = docs.select("doc_id", *columns).where(F.col("text").isNotNull()).join(own, "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c != "text"], "y")).alias("r"))
+    return one.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in (*columns, "y")])
+
+
 #: Most bytes of text that a fit takes to the driver.
 SAMPLE_BYTES = 256 << 20
 

@@ -620,3 +620,34 @@ def test_pipeline_stages_keep_what_plain_python_keeps(spark, tmp_path):
     assert got == sorted(((d, len(own), k) for d, own in ids for k in range(len(own))), key=repr)
     for _, g in pieces.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= packing.WINDOW
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Each of many words marks a few rows only, so a sample of the rows misses some; units are dealt by id alone."""
+    r = random.Random(3)
+    bad = [f"vile{''.join(r.choices('qrstuvwxyz', k=5))}" for _ in range(60)]
+    base, _ = labelled(2400, seed=11)
+    y = [int(i % 3 == 0) for i in range(2400)]
+    x = [f"{' '.join(w for w in t.split() if not w.startswith(('vile', 'nasty')))} {r.choice(bad)[4:] if v else 'plain'} end" for t, v in zip(base, y, strict=True)]
+    docs = spark.createDataFrame([(i, t, ("en", "de")[i % 2]) for i, t in enumerate(x)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, 200)
+    held = [i for i in range(2400) if fold_of(i) == 0]
+    said = model.score(pa.array([x[i] for i in held])) >= 0.5
+    assert np.mean([s == y[i] for s, i in zip(said, held, strict=True)]) > 0.97
+    again = toxicity.train(docs.repartition(7), labels.repartition(3), 200)
+    assert (again.embedding == model.embedding).all() and again.scale == model.scale and again.thresholds == model.thresholds and set(model.thresholds) == {"en", "de"}
+    whole = toxicity.train(docs, labels)
+    kept = [i for i in range(2400) if fold_of(i)]
+    alone = toxicity.fit([x[i] for i in kept], [y[i] for i in kept], [("en", "de")[i % 2] for i in kept])
+    assert (whole.embedding == alone.embedding).all() and whole.scale == alone.scale
+
+
+def test_toxicity_units_with_one_class_and_rare_labels(spark):
+    x, _ = labelled(300, seed=4)
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(x)], "doc_id long, text string, lang string")
+    of = lambda marked: toxicity.train(docs, spark.createDataFrame([(i, int(i in marked)) for i in range(300)], "doc_id long, toxic int"), 50)
+    n = sum(fold_of(i) != 0 for i in range(300))
+    assert of(()).dead == 0.5 / (n + 1) and of(range(300)).dead == (n + 0.5) / (n + 1)
+    one = of([next(i for i in range(300) if fold_of(i))])
+    assert one.dead is None and (one.score(pa.array(["", None, "a b"])) < 0.5).all() and one.thresholds == {"None": 0.5}
