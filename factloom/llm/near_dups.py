@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .bpe import ragged
 from .embedding_dups import apart, groups_of, represented
-from .shared import SPACE, Cuts, byte_table, components, mix, shingles, steps, utf8, word_hashes, word_spans
+from .shared import SPACE, Cuts, byte_table, components, lean, mix, shingles, steps, utf8, word_hashes, word_spans
 
 HASHES, STEP = 128, 16
 #: Probability of a wrongly dropped candidate that a comparison step may take, of a pair right at the threshold that
@@ -302,7 +302,7 @@ def find(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = MISS,
     cuts = Cuts(docs.sparkSession)
     text = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_shingles long, h1 long, h2 long, bands array<long>, sig binary").fields])
-    sketched = cuts.keep(text.mapInArrow(_sketch(words, *banding(percent, band_miss)), schema))
+    sketched = cuts.keep(text.mapInArrow(lean(_sketch(words, *banding(percent, band_miss))), schema))
     rows = sketched.select("doc_id", "n_shingles", "h1", "h2")
     live = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).withColumnRenamed("n_shingles", "size")
     classes = live.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
@@ -310,37 +310,37 @@ def find(docs: DataFrame, words: int = 3, percent: int = 85, miss: float = MISS,
     marks = classes.select("id", "size", "sig")
     met = cuts.keep(represented(classes.select("id", F.explode("bands").alias("key")), BLOCK))
     ordered = lambda df: df.join(marks, "id").select("key", "unit", "id", "size", "sig", "label").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
-    small = ordered(met.where("rep IS NULL").withColumn("unit", F.lit(0).cast("long")).withColumn("label", F.col("id"))).mapInArrow(_meet(percent, miss, _best), "a long, b long, m int")
+    small = ordered(met.where("rep IS NULL").withColumn("unit", F.lit(0).cast("long")).withColumn("label", F.col("id"))).mapInArrow(lean(_meet(percent, miss, _best)), "a long, b long, m int")
     # every member of a large bucket with the bucket's representative
     side = lambda end, own, more: more.select(F.col("id").alias(end), *[F.col(c).alias(n) for c, n in own.items()])
     stars = met.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
     stars = stars.join(side("a", {"size": "nx", "sig": "x"}, marks), "a").join(side("b", {"size": "ny", "sig": "y"}, marks), "b").select("a", "b", "nx", "x", "ny", "y")
-    pairs = small.union(stars.mapInArrow(_screen(percent, miss), "a long, b long, m int"))
+    pairs = small.union(stars.mapInArrow(lean(_screen(percent, miss)), "a long, b long, m int"))
     pairs = cuts.keep(pairs.groupBy("a", "b").agg(F.max("m").alias("m")))
     # of these, each text's best pair is verified
     ends = F.explode(F.array(*(F.struct(F.col(p).alias("own"), F.struct(F.col("m"), (-F.col(q)).alias("other")).alias("to")) for p, q in ("ab", "ba"))))
     best = pairs.select(ends.alias("e")).groupBy("e.own").agg(F.max("e.to").alias("to"))
     chosen = cuts.keep(best.select(F.least("own", -F.col("to.other")).alias("a"), F.greatest("own", -F.col("to.other")).alias("b")).distinct())
     needed = chosen.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cuts.keep(text.join(needed, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"))
+    sets = cuts.keep(text.join(needed, "doc_id", "left_semi").mapInArrow(lean(_sets(words)), "id long, grams binary"))
     sided = chosen.join(side("a", {"grams": "x"}, sets), "a").join(side("b", {"grams": "y"}, sets), "b")
-    checked = cuts.keep(sided.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
+    checked = cuts.keep(sided.select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a long, b long, linked boolean"))
     labels = components(cuts, checked.where("linked").select("a", "b"))
     cuts.drop(pairs, chosen, checked)
     # only buckets in which components are still apart go on
     label = F.coalesce("component_id", "id").alias("label")
     named = cuts.keep(met.join(labels, "id", "left").select("key", "id", label))
-    edges = ordered(apart(named, "key", BLOCK)).mapInArrow(_meet(percent, miss, _span), "a long, b long, m int")
+    edges = ordered(apart(named, "key", BLOCK)).mapInArrow(lean(_meet(percent, miss, _span)), "a long, b long, m int")
     edges = cuts.keep(edges.select("a", "b").distinct())
     cuts.drop(met, named)
     if edges.limit(1).count():
         groups = components(cuts, edges).withColumnRenamed("component_id", "group")
         named = cuts.keep(groups.join(labels, "id", "left").select("group", "id", label))
         more = named.select("id").join(sets.select("id"), "id", "left_anti").withColumnRenamed("id", "doc_id")
-        more = cuts.keep(text.join(more, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, grams binary"))
+        more = cuts.keep(text.join(more, "doc_id", "left_semi").mapInArrow(lean(_sets(words)), "id long, grams binary"))
         work = apart(named, "group", BLOCK // 2).join(marks, "id").join(sets.union(more), "id")
         work = work.select("group", "unit", "id", "size", "sig", "label", "grams").repartition("group", "unit").sortWithinPartitions("group", "unit", "id")
-        labels = _merged(cuts, labels, cuts.keep(work.mapInArrow(_settle(percent, miss), "a long, b long")))
+        labels = _merged(cuts, labels, cuts.keep(work.mapInArrow(lean(_settle(percent, miss)), "a long, b long")))
         cuts.drop(named, more)
     cuts.drop(edges, sets)
     ids = classes.select("id", "h1", "h2", "size").join(labels, "id", "left").select("h1", "h2", "size", F.coalesce("component_id", "id").alias("component_id"))

@@ -24,11 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import Vocabulary, library_merge, text_steps, worker_encoder
+from .shared import lean
 
 WINDOW = 1024
 CLOSING_ID = 0
 #: Open windows that a task holds (at 1024 ids each, 16 MB).
 MOST_OPEN = 4096
+#: Characters of text that are encoded at a time.
+STEP_CHARS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -122,7 +125,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, closing: int = CLOSIN
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         e = worker_encoder(bc.value, path, library_merge)
         for batch in batches:
-            for begin, texts in text_steps(batch.column(1)):
+            for begin, texts in text_steps(batch.column(1), STEP_CHARS):
                 ids, bounds = e.rows(texts)
                 doc_ids = batch.column(0).slice(begin, len(texts)).to_pylist()
                 rows = []
@@ -137,7 +140,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, closing: int = CLOSIN
                 yield table(rows)
         yield table(list(packer.finish()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

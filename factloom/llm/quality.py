@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE, byte_table, fold, give_back, labelled_sample, mix, shape_table, steps, utf8, word_hashes, word_spans
+from .shared import SPACE, byte_table, fold, give_back, labelled_sample, lean, mix, shape_table, steps, utf8, word_hashes, word_spans
 
 #: Most labelled rows that a fit takes to the driver, and the tail probability that keeps a document.
 SAMPLE_ROWS = 6000
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: QualityModel, least_grade: int | None = None,
             tail = tails[:, at[0]] if at else np.full(len(z), float(m.grades[-1] >= least))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *map(pa.array, (z, m.expected(tails), tail))], names=[*names, *new[:3]])
 
-    return docs.select(*read).mapInArrow(run, schema).withColumn("selected", F.col("tail_probability") >= probability)
+    return docs.select(*read).mapInArrow(lean(run), schema).withColumn("selected", F.col("tail_probability") >= probability)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE, STEP_BYTES, Cuts, byte_table, fold, give_back, labelled_rows, steps, utf8, word_hashes, word_spans
+from .shared import SPACE, STEP_BYTES, Cuts, byte_table, fold, give_back, labelled_rows, lean, steps, utf8, word_hashes, word_spans
 
 #: Rows and bytes of text that are fitted at once, and bytes of text that a fit hashes at a time.
 UNIT_ROWS, UNIT_BYTES, FIT_BYTES = 6000, 32 << 20, 1 << 19
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None)
             s = bc.value.score(batch.column(read.index("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s)], names=[*names, "toxicity_score"])
 
-    out = docs.select(*read).mapInArrow(run, schema)
+    out = docs.select(*read).mapInArrow(lean(run), schema)
     limit = F.lit(0.5)
     for lang, t in sorted(model.thresholds.items()) if "lang" in names else ():
         if t != 0.5:
@@ -317,9 +317,9 @@ def _sum_rows(df: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
     parts = df.sparkSession.sparkContext.defaultParallelism
-    df = df.mapInArrow(run, "v binary")
+    df = df.mapInArrow(lean(run), "v binary")
     for left in (max(1, parts // 2), 1):
-        df = df.repartition(left).mapInArrow(run, "v binary")
+        df = df.repartition(left).mapInArrow(lean(run), "v binary")
     return np.frombuffer(df.first()["v"], np.int64)
 
 
@@ -343,7 +343,7 @@ def _fit_units(rows: DataFrame, units: int, table_bits: int, dim=6, widths=(1, 2
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], names=["v"])
 
     model = ToxicityModel(np.zeros((table, dim), np.float32))
-    counts = _sum_rows(learn.select("text", "y").mapInArrow(count, "v binary")).reshape(3, 2, table).astype(np.float64)
+    counts = _sum_rows(learn.select("text", "y").mapInArrow(lean(count), "v binary")).reshape(3, 2, table).astype(np.float64)
     _begin(model, counts, n1 + 1.0, n0 + 1.0, table, dim, widths, filters, np.random.default_rng(seed))
     start = sc.broadcast(model)  # fixed size: the embedding table
 
@@ -357,6 +357,8 @@ def _fit_units(rows: DataFrame, units: int, table_bits: int, dim=6, widths=(1, 2
         moved = np.round((m.embedding - start.value.embedding) * np.float64(EMBEDDING_STEPS)).astype(np.int64) * used[:, None]
         flat = np.concatenate([*[w.ravel() for _, w, _ in m.filters], *[b for _, _, b in m.filters], m.weights, [m.bias]]).astype(np.float64)
         own = np.concatenate([[len(y)], np.round(flat * WEIGHT_STEPS).astype(np.int64) * len(y), used, moved.ravel()]).astype(np.int64)
+        del m, slots, bounds, group
+        give_back()
         return pa.table({"v": pa.array([own.tobytes()], pa.binary())})
 
     dealt = learn.select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id"), F.lit(units)).alias("unit"))
@@ -383,7 +385,7 @@ def _fit_units(rows: DataFrame, units: int, table_bits: int, dim=6, widths=(1, 2
             z = np.round(final.value.raw(*utf8(b.column(0)), FIT_BYTES) * RESPONSE_STEPS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(z)], names=["y", "lang", "z"])
 
-    seen = check.select("text", "y", F.coalesce("lang", F.lit("None")).alias("lang")).mapInArrow(respond, "y int, lang string, z long").groupBy("y", "lang", "z").count().toPandas().sort_values(["lang", "z", "y"])
+    seen = check.select("text", "y", F.coalesce("lang", F.lit("None")).alias("lang")).mapInArrow(lean(respond), "y int, lang string, z long").groupBy("y", "lang", "z").count().toPandas().sort_values(["lang", "z", "y"])
     calibrate(model, seen["z"].to_numpy() / RESPONSE_STEPS, seen["y"].to_numpy().astype(np.float64), seen["lang"].to_numpy(dtype=object), seen["count"].to_numpy().astype(np.float64))
     start.unpersist()
     final.unpersist()

@@ -3,7 +3,10 @@
 import hashlib
 import html
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -651,3 +654,39 @@ def test_toxicity_units_with_one_class_and_rare_labels(spark):
     assert of(()).dead == 0.5 / (n + 1) and of(range(300)).dead == (n + 0.5) / (n + 1)
     one = of([next(i for i in range(300) if fold_of(i))])
     assert one.dead is None and (one.score(pa.array(["", None, "a b"])) < 0.5).all() and one.thresholds == {"None": 0.5}
+
+
+def test_workers_give_their_memory_back():
+    """A worker waits for later stages with what it still needs, not with the peak of the packing that it has done."""
+    code = """
+import random, re
+import pyarrow as pa
+from pathlib import Path
+from factloom.llm import packing
+
+class Plan:  # a table that only hands over the workers' function
+    sparkSession = sparkContext = property(lambda self: self)
+    broadcast = lambda self, value: setattr(self, "value", value) or self
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+class Task:
+    get, partitionId = staticmethod(lambda: Task), staticmethod(lambda: 0)
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+packing.TaskContext = Task
+run, r = packing.pack(Plan(), %r), random.Random(1)
+
+def text():  # most words are known, some are new to the encoder
+    return " ".join(f"{r.randrange(1000)}word" if r.random() < 0.9 else "".join(r.choices("abcdefghij", k=9)) for _ in range(500))
+
+batches = [pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": [text() for _ in range(1000)]}) for _ in range(3)]
+before = held()
+total = sum(sum(b.column(2).to_pylist()) for b in run(iter(batches)))
+print(total > 3000 * 500, held() - before)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code % PATH], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert out[0] == "True" and float(out[1]) < 90, out  # the encoder stays
